@@ -127,8 +127,9 @@ def line_numbers(cp: np.ndarray, start: np.ndarray) -> np.ndarray:
     return nl[:-1] - nl[doc]
 
 
-def words(cp: np.ndarray, start: np.ndarray, lines: bool = False) -> Words:
-    f = fold_table()[cp]
+def words(cp: np.ndarray, start: np.ndarray, lines: bool = False, table: np.ndarray | None = None) -> Words:
+    """The words of a batch under the folding table (or another table of the same kind)."""
+    f = (fold_table() if table is None else table)[cp]
     keep = np.flatnonzero(f)
     g = f[keep]
     is_word = g > SPACE
