@@ -31,7 +31,7 @@ from .text import DROP, SPACE, chunks, codes, fold_table
 ORDERS = (2, 3, 4, 5)
 BITS = 19
 WINDOW = 40
-POSITIVES, NEGATIVES = 2000, 4000
+POSITIVES, NEGATIVES = 1000, 3500
 HARMFUL = 0.5
 FOLDS, ROUNDS = 3, 6
 
@@ -88,14 +88,14 @@ def grams(g: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """Per order, the hashed n-gram at every position (slot 0 where it would leave its text)."""
     out = []
     h = np.zeros(len(g), np.uint32)
-    left = np.repeat(at[1:], np.diff(at)) - np.arange(len(g))
+    left = (np.repeat(at[1:], np.diff(at)) - np.arange(len(g))).astype(np.int32)
     for k in range(max(ORDERS)):
         x = np.zeros(len(g), np.uint32)
         x[: len(g) - k] = g[k:] if k else g
         h = (h ^ x) * np.uint32(16777619) + np.uint32(k)
         if k + 1 in ORDERS:
             i = ((h ^ (h >> np.uint32(15))) * np.uint32(2246822519)) >> np.uint32(32 - BITS)
-            out.append(np.where(left > k, np.maximum(i, 1), 0))
+            out.append(np.where(left > k, np.maximum(i, 1), 0).astype(np.int32))
     return out
 
 
@@ -122,6 +122,18 @@ def worst(weight: np.ndarray, ids: list[np.ndarray], at: np.ndarray) -> tuple[np
     return top, where
 
 
+def worst_by_blocks(weight: np.ndarray, ids: list[np.ndarray], at: np.ndarray, block: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """worst(), some texts at a time."""
+    tops, wheres = [], []
+    for lo in range(0, len(at) - 1, block):
+        hi = min(lo + block, len(at) - 1)
+        a, b = int(at[lo]), int(at[hi])
+        top, where = worst(weight, [i[a:b] for i in ids], at[lo : hi + 1] - a)
+        tops.append(top)
+        wheres.append(where + a)
+    return np.concatenate(tops), np.concatenate(wheres)
+
+
 class Sample:
     """The labelled texts as n-grams, and one fit of weights on windows of them."""
 
@@ -132,9 +144,17 @@ class Sample:
         g, self.at = squeeze(*codes(pa.array([*texts, *terms], pa.string())))
         self.ids = grams(g, self.at)
         self.slots = 1 << BITS
-        doc = np.repeat(np.arange(len(self.harmful), dtype=np.int64), np.diff(self.at))
-        met = np.unique(np.concatenate([doc * self.slots + i for i in self.ids]))
-        self.doc, self.slot = met // self.slots, met % self.slots
+        docs, slots = [], []
+        for lo in range(0, len(self.harmful), 500):
+            # Distinct n-grams of each text, some texts at a time, so that the driver holds little at once.
+            hi = min(lo + 500, len(self.harmful))
+            a, b = int(self.at[lo]), int(self.at[hi])
+            doc = np.repeat(np.arange(lo, hi, dtype=np.int64), np.diff(self.at[lo : hi + 1]))
+            for i in self.ids:
+                met = np.unique(doc * self.slots + i[a:b])
+                docs.append((met >> BITS).astype(np.int32))
+                slots.append((met & (self.slots - 1)).astype(np.int32))
+        self.doc, self.slot = np.concatenate(docs), np.concatenate(slots)
         self.even = np.random.default_rng(5).random(len(self.harmful))
 
     def ratio(self, use: np.ndarray) -> np.ndarray:
@@ -155,16 +175,17 @@ class Sample:
         """Logistic weights on ratio-scaled n-gram counts of windows: the worst one (by weight) of every used harmful
         text, and the harmless windows that begin at the given positions."""
         ratio, at = self.ratio(use), self.at
-        _, where = worst(weight, self.ids, at)
+        _, where = worst_by_blocks(weight, self.ids, at)
         begin = np.concatenate([where[use & self.harmful], harmless])
         label = np.zeros(len(begin))
         label[: len(begin) - len(harmless)] = 1
         owner = np.searchsorted(at, begin, "right") - 1
         size = np.minimum(begin + WINDOW, at[owner + 1]) - begin
-        row = np.repeat(np.arange(len(begin)), size)
+        row = np.repeat(np.arange(len(begin), dtype=np.int32), size)
         pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
         row, col = np.tile(row, len(self.ids)), np.concatenate([i[pos] for i in self.ids])
         active, col = np.unique(col, return_inverse=True)
+        col = col.astype(np.int32)
         scale = ratio[active]
         x = scale[col]
         v, bias, gv, gb = np.full(len(active), 0.02), -2.0, np.full(len(active), 1e-8), 1e-8
@@ -185,11 +206,11 @@ class Sample:
     def mined(self, use: np.ndarray, weight: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
         """Fits in rounds, each with the harmless texts' windows that the one before took for nearly harmful."""
         clean = use & ~self.harmful
-        _, where = worst(weight, self.ids, self.at)
+        _, where = worst_by_blocks(weight, self.ids, self.at)
         harmless = np.concatenate([self.even_windows(use), where[clean]])
         for _ in range(rounds):
             weight, bias = self.fit(use, weight, harmless)
-            top, where = worst(weight, self.ids, self.at)
+            top, where = worst_by_blocks(weight, self.ids, self.at)
             harmless = np.unique(np.concatenate([harmless, where[clean & (top + bias > -1)]]))
         return weight, bias
 
@@ -221,7 +242,7 @@ def fit(texts: list[str], harmful: np.ndarray, terms: list[str] = ()) -> tuple[n
     for k in range(FOLDS):
         use = (fold != k) | s.term
         weight, bias = s.mined(use, start(use), 1)
-        confirmed |= (fold == k) & (worst(weight, s.ids, s.at)[0] + bias > 0)
+        confirmed |= (fold == k) & (worst_by_blocks(weight, s.ids, s.at)[0] + bias > 0)
     use = ~s.harmful | confirmed | s.term
     return s.mined(use, start(use), ROUNDS)
 

@@ -195,7 +195,11 @@ def _kept(b: pa.RecordBatch, names=None) -> tuple[Words, np.ndarray, np.ndarray]
 def train(build: DataFrame, frequent: DataFrame, sample: int = SAMPLE) -> Field:
     """A field trained on the records with the least hashes of uid and text; the sample's size is fixed."""
     rows = attach(build, frequent).select("uid", "text", "furniture").where("uid is not null and text is not null and length(text) < 20000")
-    got = rows.withColumn("h", F.xxhash64("uid", "text")).orderBy("h").limit(sample).toPandas()
+    # A threshold on the hash lets about four times the sample through, so that no task sends more than its part.
+    share = min(1.0, 4 * sample / max(1, build.count()))
+    h = F.xxhash64("uid", "text")
+    few = rows.withColumn("h", h).where(F.col("h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+    got = few.orderBy("h").limit(sample).toPandas()
     b = pa.RecordBatch.from_pydict({"text": pa.array(got["text"].tolist(), pa.string()), "furniture": pa.array([None if x is None else [int(y) for y in x] for x in got["furniture"]], pa.list_(pa.int64()))})
     w, keep, start = _kept(b)
     v = Vocabulary(w, keep)
