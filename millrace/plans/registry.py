@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import aggregate_queries, dedup_queries, relational_queries, stats_queries, stream_queries, text_queries, tokenizer_queries  # noqa: F401
+from .catalog import ORACLES, QUERIES  # noqa: F401
