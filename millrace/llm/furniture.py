@@ -87,9 +87,10 @@ def occurrences(records: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def attach(build: DataFrame, frequent: DataFrame) -> DataFrame:
-    """build with furniture: the identifiers of its source's frequent lines (null when there are none)."""
+    """(uid, text, furniture) of every row: with the identifiers of its source's frequent lines, null if there are none.
+    Other columns of build, whatever their names, are left behind."""
     per = frequent.groupBy("src").agg(F.collect_set("key").alias("furniture"))
-    return in_scope(build).join(bounded(cut(per)), "src", "left")
+    return in_scope(build).select("uid", "text", "src").join(bounded(cut(per)), "src", "left").select("uid", "text", "furniture")
 
 
 def furniture_lines(keys: np.ndarray, line_start: np.ndarray, furniture: pa.ListArray) -> np.ndarray:
@@ -117,4 +118,4 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove(build: DataFrame, frequent: DataFrame) -> DataFrame:
     """(uid, text, lines_removed): every record's text without its source's furniture. One row per row of build."""
-    return attach(build, frequent).select("uid", "text", "furniture").mapInArrow(_without, "uid string, text string, lines_removed int")
+    return attach(build, frequent).mapInArrow(_without, "uid string, text string, lines_removed int")

@@ -76,6 +76,8 @@ def codes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The code points of all texts in a row, and where each text starts (one more at the end). Null is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    if not len(col):
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64)
     if col.null_count:
         col = col.fill_null("")
     wide = pa.types.is_large_string(col.type)
