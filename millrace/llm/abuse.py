@@ -50,9 +50,8 @@ def _table() -> np.ndarray:
 def squeeze(cp: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Folded letters and single spaces of all texts, each text begun and ended by a space, and where each starts."""
     n = len(start) - 1
-    g = np.insert(_table()[cp], start, SPACE)
-    at = start + np.arange(n + 1)
-    at[-1] = len(g)
+    g = np.insert(_table()[cp], np.sort(np.concatenate([start[:-1], start[1:]])), SPACE)
+    at = start + 2 * np.arange(n + 1)
     keep = g != DROP
     pos = np.zeros(len(g) + 1, np.int64)
     np.cumsum(keep, out=pos[1:])
@@ -91,7 +90,7 @@ def grams(g: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     left = (np.repeat(at[1:], np.diff(at)) - np.arange(len(g))).astype(np.int32)
     for k in range(max(ORDERS)):
         x = np.zeros(len(g), np.uint32)
-        x[: len(g) - k] = g[k:] if k else g
+        x[: max(0, len(g) - k)] = g[k:]
         h = (h ^ x) * np.uint32(16777619) + np.uint32(k)
         if k + 1 in ORDERS:
             i = ((h ^ (h >> np.uint32(15))) * np.uint32(2246822519)) >> np.uint32(32 - BITS)

@@ -168,7 +168,19 @@ def allocate(bundles: list[tuple[str, int, int]], quotas: dict[str, float] = QUO
             whole[k] += 1
             left[k] -= size
         out.append((i, whole))
-    return [w for _, w in sorted(out)]
+    takes = [w for _, w in sorted(out)]
+    # What rounding left over: smaller components move from splits beyond their quota to those below, largest first.
+    for k in sorted(range(len(names)), key=lambda k: -left[k]):
+        for i in sorted(range(len(bundles)), key=lambda i: -bundles[i][1]):
+            size = bundles[i][1]
+            for j in range(len(names)):
+                n = int(min(takes[i][j], left[k] // size, -left[j] // size + (left[j] < 0 and -left[j] % size > 0)))
+                if j != k and n > 0 and left[k] > 0 > left[j]:
+                    takes[i][j] -= n
+                    takes[i][k] += n
+                    left[k] -= n * size
+                    left[j] += n * size
+    return takes
 
 
 def assign(build: DataFrame, gates: DataFrame, quotas: dict[str, float] = QUOTAS) -> DataFrame:
