@@ -156,7 +156,7 @@ def file_kind(content: Column) -> Column:
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, kind, content)."""
+    """(path, length, kind, content); files without a byte aren't listed by the scan."""
     return spark.read.format("binaryFile").load(path).select("path", "length", file_kind(F.col("content")).alias("kind"), "content")
 
 
