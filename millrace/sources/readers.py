@@ -67,7 +67,7 @@ class _Page(html.parser.HTMLParser):
         self.now = ""
 
     def _flush(self) -> None:
-        lines = [re.sub(r"[^\S\n]+", " ", x).strip() for x in self.now.split("\n")]
+        lines = [re.sub(r"[ \t\r\f]+", " ", x).strip(" ") for x in self.now.split("\n")]
         lines = [x for x in lines if x]
         self.now = ""
         if lines and not any(t in SKIPPED for t, _ in self.stack):
