@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ranked  # noqa: F401
+
 #: A side is broadcast only when its counted rows stay within this bound; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -28,21 +30,6 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def ranked(df: DataFrame, group: list[str], by: str, rank: str = "rank", buckets: int = 1024) -> DataFrame:
-    """df with the 0-based rank of each row in its group, in the order of the hash of column by (ties by its value).
-
-    No task holds a whole group: rows are ranked within buckets of the hash, and the buckets' counts, a small table,
-    give each bucket's offset. Rows with equal by-values share an arbitrary order, so by should be unique.
-    """
-    h = df.withColumn("_h", F.xxhash64(by)).withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    keys = [*group, "_b"]
-    offsets = h.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", by))
-    return h.withColumn("_r", inside).join(offsets, keys).withColumn(rank, F.col("_o") + F.col("_r") - 1).drop("_h", "_b", "_r", "_o")
-
-
 ASCII_DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 
 
