@@ -38,13 +38,12 @@ def ratio(a: Column, b: Column, empty: float) -> Column:
 
 def script_fraction(c: Column, script: str = ARABIC) -> Column:
     """Characters of the script among those that aren't spaces; 0 for none."""
-    return ratio(count(c, f"[{script}]"), F.length(F.regexp_replace(c, r"\s", "")), 0.0)
+    return let(F.regexp_replace(c, r"\s+", ""), lambda x: ratio(F.length(x) - F.length(F.regexp_replace(x, f"[{script}]+", "")), F.length(x), 0.0))
 
 
 def non_language_ratio(c: Column) -> Column:
     """Share of non-space characters that are no letter, mark, number or punctuation; 1 for an empty text."""
-    solid = F.regexp_replace(c, r"\s", "")
-    return ratio(F.length(F.regexp_replace(solid, f"[{LANGUAGE}]", "")), F.length(solid), 1.0)
+    return let(F.regexp_replace(c, r"\s+", ""), lambda x: ratio(F.length(F.regexp_replace(x, f"[{LANGUAGE}]+", "")), F.length(x), 1.0))
 
 
 def words(c: Column) -> Column:
@@ -88,8 +87,7 @@ def clean_text(c: Column) -> Column:
     x = F.regexp_replace(normalize_invisible(c), "\\r\\n?", "\n")
     x = F.regexp_replace(F.regexp_replace(x, "[_|~`{}<>\\\\]", ""), "\\x{0640}+", "")
     x = F.regexp_replace(x, "[ \\t\\x{00a0}\\x{2007}\\x{202f}]+", " ")
-    for p in "،۔؛:!؟?.-—–":
-        x = F.regexp_replace(x, f"[{p}]{{3,}}", p * 2)
+    x = F.regexp_replace(x, "([،۔؛:!؟?.\\-—–])\\1{2,}", "$1$1")
     x = F.regexp_replace(x, "[ \\t]+([،۔؛:!؟?.)\\]…])", "$1")
     x = F.regexp_replace(x, "\\(\\s+", "(")
     kept = F.filter(lines(x), lambda l: ~l.rlike("^[0-9۰-۹]{1,4}$"))
@@ -113,30 +111,39 @@ def is_dateline(c: Column, places: tuple[str, ...], desks: tuple[str, ...]) -> C
 
 def looks_like_ad(c: Column) -> Column:
     """Commercial intent: a phone number and an advertising word, or a link and two, or three."""
-    low = F.lower(c)
-    hits = sum((low.contains(w).cast("int") for w in AD_WORDS), F.lit(0))
-    return (c.rlike(PHONE) & (hits >= 1)) | (hits >= 3) | (c.rlike("(?i)" + URL) & (hits >= 2))
 
 
-def gate_reasons(c: Column, ad: Column) -> Column:
-    """Codes of the failed thresholds, in fixed order; for each metric at most the harder one."""
-    n, w, sf, nl, rep = F.length(c), word_count(c), script_fraction(c), non_language_ratio(c), max_line_repeat(c)
+    def test(low: Column) -> Column:
+        hits = sum((low.contains(w).cast("int") for w in AD_WORDS), F.lit(0))
+        # The counts are cheap; the patterns run on the few texts that have an advertising word at all.
+        return let(hits, lambda h: (h >= 3) | ((h >= 1) & c.rlike(PHONE)) | ((h >= 2) & c.rlike("(?i)" + URL)))
+
+    return let(F.lower(c), test)
+
+
+def gate(c: Column, ad: Column) -> Column:
+    """(r, tier): codes of the failed thresholds, in fixed order and for each metric at most the harder one, and the
+    tier they give. Every metric is computed once per row."""
     s, p = STRICT, PERMISSIVE
+    metrics = F.struct(F.length(c).alias("n"), word_count(c).alias("w"), script_fraction(c).alias("sf"), non_language_ratio(c).alias("nl"), max_line_repeat(c).alias("rep"), ad.alias("ad"))
 
     def two(hard: Column, hard_code: str, soft: Column, soft_code: str) -> Column:
         return F.when(hard, F.lit(hard_code)).when(soft, F.lit(soft_code))
 
-    return F.array_compact(
-        F.array(
-            F.when(n == 0, F.lit("empty")),
-            two(n < p["min_chars"], "too_short", n < s["min_chars"], "below_strict_length"),
-            two(w < p["min_words"], "too_few_words", w < s["min_words"], "below_strict_words"),
-            two(sf < p["min_script"], "low_script_fraction", sf < s["min_script"], "below_strict_script_fraction"),
-            two(nl > p["max_other"], "excess_non_language", nl > s["max_other"], "below_strict_non_language"),
-            two(rep > p["max_repeat"], "excessive_repetition", rep > s["max_repeat"], "below_strict_repetition"),
-            F.when(ad, F.lit("advertisement")),
+    def reasons(m: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                F.when(m["n"] == 0, F.lit("empty")),
+                two(m["n"] < p["min_chars"], "too_short", m["n"] < s["min_chars"], "below_strict_length"),
+                two(m["w"] < p["min_words"], "too_few_words", m["w"] < s["min_words"], "below_strict_words"),
+                two(m["sf"] < p["min_script"], "low_script_fraction", m["sf"] < s["min_script"], "below_strict_script_fraction"),
+                two(m["nl"] > p["max_other"], "excess_non_language", m["nl"] > s["max_other"], "below_strict_non_language"),
+                two(m["rep"] > p["max_repeat"], "excessive_repetition", m["rep"] > s["max_repeat"], "below_strict_repetition"),
+                F.when(m["ad"], F.lit("advertisement")),
+            )
         )
-    )
+
+    return let(let(metrics, reasons), lambda r: F.struct(r.alias("r"), tier(r).alias("tier")))
 
 
 def tier(reasons: Column) -> Column:

@@ -128,9 +128,8 @@ _GATED = f"with m as ({_METRICS}), g as (select *, {_REASONS} as r from m)"
 
 
 def gated(s: SparkSession, d: str) -> DataFrame:
-    x = _docs(s, d)
-    r = x.withColumn("r", T.gate_reasons(F.col("text"), T.looks_like_ad(F.col("text"))))
-    return r.withColumn("tier", T.tier(F.col("r")))
+    x = _docs(s, d).withColumn("g", T.gate(F.col("text"), T.looks_like_ad(F.col("text"))))
+    return x.withColumn("r", F.col("g.r")).withColumn("tier", F.col("g.tier")).drop("g")
 
 
 @query(f"{_GATED} select doc_id, array_to_string(r, ';') as reasons, {_TIER} as tier from g")
