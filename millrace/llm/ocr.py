@@ -8,7 +8,7 @@ equi-join. A weighted edit distance, cheaper for known confusions, orders the ca
 neighbouring word pairs and the word's frequency decide among them. A suspect with a candidate, or with a symbol or
 digit between letters, is a misread word.
 
-Null and empty texts have no damage; repeated rows of a uid give the same rows (results are distinct); lists, tables
+Null and empty texts have no damage; repeated rows of a uid give the same rows (results are distinct; a repaired text is that of the least row); lists, tables
 and junk (few common words) and web records are out of scope.
 """
 
@@ -361,6 +361,9 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for pos, seen, right in sorted(swap.get(n, ()), reverse=True):
                     head = seen.split("\n")[0]
                     lo = pos - at
+                    # Rows of one uid may differ in text against the rule; a repair then holds for its own row only.
+                    if not 0 <= lo < len(here) or head and strict_table()[ord(here[lo])] != ord(head[0]):
+                        continue
                     hi = lo
                     while hi < len(here) and not here[hi].isspace() and here[hi] not in "۔،؟!.,:;":
                         hi += 1

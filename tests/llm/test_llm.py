@@ -367,6 +367,8 @@ def test_scans_are_repaired(spark):
     b = build(spark, rows)
     got = sorted(tuple(r) for r in ocr.found(b, parts(spark)).collect())
     assert got == [("s", 0, "header"), ("s", 1, "hyphen"), ("s", 1, "ocr_char"), ("s", 2, "ocr_char"), ("s", 4, "page_no")]
+    other = build(spark, [*rows, {"uid": "s", "text": "A", "source": "book", "source_path": "book/a/1"}])
+    assert {r.text for r in ocr.repair(other, parts(spark)).where("uid = 's'").collect()} == {"A"}
     fixed = {r.uid: r.text for r in ocr.repair(b, parts(spark)).collect()}
     assert fixed["s"] == clean and fixed["c1"] == clean
 
