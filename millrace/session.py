@@ -41,14 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the workers unless they find it anyway (PYTHONPATH or the working folder names its place).
+    """Send this package to the workers, except workers of this machine's own process tree that find it anyway (PYTHONPATH
+    or the working folder names its place).
 
     Functions that run in workers are pickled by reference to their modules, so a cluster needs the package there.
     """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     sc = spark.sparkContext
-    if root in known or os.path.abspath(os.getcwd()) == root or getattr(sc, "_millrace_shipped", False):
+    found = root in known or os.path.abspath(os.getcwd()) == root
+    if getattr(sc, "_millrace_shipped", False) or found and sc.master.split("[")[0] == "local":
         return
     at = tempfile.mkdtemp(prefix="millrace-code-")
     archive = os.path.join(at, "millrace.zip")
