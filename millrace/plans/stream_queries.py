@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..io import table
+from ..session import cut, discard, scratch
 from ..streaming.ingest import windowed_counts
 from .catalog import query
 
@@ -19,23 +15,19 @@ def g_event_windows(s, d):
     return windowed_counts(table(s, d, "events", "ts", "event_type", "value"))
 
 
-def _folder(s) -> str:
-    """A folder that all executors share where the cluster names one; a temporary one only where none is set."""
-    base = s.sparkContext.getCheckpointDir() or s.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else os.path.join(tempfile.gettempdir(), f"millrace-stream-{uuid.uuid4().hex}")
-
-
 @query("select event_type, count(*) as n, round(sum(value), 2) as total from events group by event_type")
 def g01_g02_resumable_scan(s, d):
     """The events file as a stream: every available row once, counted by type in a state store."""
-    at = _folder(s)
+    at = scratch(s, "stream")
     schema = table(s, d, "events").schema
     # A stream reads folders; the file is picked out of its folder by name.
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     out = stream.select("event_id", "event_type", "value")
     q = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.read.parquet(f"{at}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    n = cut(s.read.parquet(f"{at}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")))
+    discard(s, at)
+    return n
 
 
 @query("select user_id, count(*) as n_sessions from (select user_id, ts, lag(ts) over (partition by user_id order by ts) as p from events) where p is null or ts >= p + interval '30 minutes' group by user_id")
@@ -43,6 +35,3 @@ def g_user_sessions(s, d):
     e = table(s, d, "events", "user_id", "ts")
     return e.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("k")).groupBy("user_id").agg(F.count("*").alias("n_sessions"))
 
-
-def clear(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)

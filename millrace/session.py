@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +63,15 @@ def ship(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, root))
     sc.addPyFile(archive)
     sc._millrace_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that executors share (a temporary one of this machine only where none is named)."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path written before."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

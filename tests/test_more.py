@@ -41,3 +41,12 @@ def test_ranks_of_hot_groups(spark):
     rows = ranked(df, ["g"], "v", buckets=16).collect()
     hot = sorted(r["rank"] for r in rows if r.g == 0)
     assert hot == list(range(len(hot))) and len(rows) == 600
+
+
+def test_contacts_and_chunks():
+    from millrace.plans.extra_queries import chunk_lines, mask_contacts
+
+    assert mask_contacts("mail a@b.co, ۰۳۰۱-۱۲۳۴۵۶۷ and 12345-1234567-1, 0991 123456") == ("mail <EMAIL>, <PHONE> and <ID_NUMBER>, <PHONE>", {"<EMAIL>": 1, "<PHONE>": 2, "<ID_NUMBER>": 1})
+    assert mask_contacts("") == ("", {})
+    got = chunk_lines(["a b", "c d", "head", "e f", "g h", "i j"], 3, lambda x: " " not in x)
+    assert got == [["a b", "c d", "head", "e f", "g h", "i j"]] and chunk_lines([], 3, bool) == [[]]
