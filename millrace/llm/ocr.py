@@ -136,13 +136,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches, "text"):
         cp, start = codes(b.column("text"))
         scan = np.zeros(b.num_rows, np.int64)
-        scan[list(_scanned(b, cp, start))] = 1
-        w = words(cp, start, table=strict_table())
+        got = _scanned(b, cp, start)
+        scan[list(got)] = 1
+        w = words(cp, start, lines=True, table=strict_table())
         if not len(w.hash):
             continue
+        # Running titles repeat page after page and would make their words look like words of scans only.
+        weight = np.ones(len(w.hash))
+        for d, (_, kinds, _) in got.items():
+            aside = [n for n, k in enumerate(kinds) if k]
+            if aside:
+                lo, hi = w.start[d], w.start[d + 1]
+                weight[lo:hi] = ~np.isin(w.line[lo:hi], aside)
         h, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        in_scan = np.bincount(which, np.repeat(scan, np.diff(w.start)), len(h)).astype(np.int64)
-        total = np.bincount(which, minlength=len(h))
+        in_scan = np.bincount(which, np.repeat(scan, np.diff(w.start)) * weight, len(h)).astype(np.int64)
+        total = np.bincount(which, weight, len(h)).astype(np.int64)
         fit = w.fold_end[first] - w.fold_first[first] <= 40
         pick = np.flatnonzero(fit)
         yield pa.RecordBatch.from_arrays(
