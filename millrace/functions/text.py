@@ -184,6 +184,12 @@ def ngrams(ws: Column, n: int) -> Column:
     return let(ws, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none))
 
 
+def gram_hashes(ws: Column, n: int) -> Column:
+    """Hashes of all runs of n words, without making strings of them; none for shorter texts."""
+    none = F.array().cast("array<bigint>")
+    return let(ws, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(none))
+
+
 def char_shingles(c: Column, k: int = 5) -> Column:
     """Distinct windows of k characters of the text without spaces; a shorter text is its own."""
     none = F.array().cast("array<string>")

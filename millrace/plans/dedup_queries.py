@@ -36,7 +36,7 @@ def d03_minhash_near_duplicates(s, d):
 
 def grams(docs, key: str, n: int = GRAM):
     """(key, gram): distinct hashed runs of n folded words."""
-    return docs.select(key, F.explode(F.array_distinct(F.transform(T.ngrams(T.leak_words(F.col("text")), n), lambda g: F.xxhash64(g)))).alias("gram"))
+    return docs.select(key, F.explode(F.array_distinct(T.gram_hashes(T.leak_words(F.col("text")), n))).alias("gram"))
 
 
 def _grams_sql(tab: str, key: str, n: int = GRAM, extra: str = "") -> str:
@@ -76,7 +76,7 @@ def _grouped(s, d):
 @query(f"""with t as {_GROUPED}, g as ({_grams_sql('t', 'uid, grp')}), many as (select gram from g group by gram having count(distinct grp) >= 2)
 select uid, count(*) as n_grams, round(avg((many.gram is not null)::int), 4) as contained from g left join many using (gram) group by uid""")
 def d06_group_containment(s, d):
-    g = cut(_grouped(s, d).select("uid", "grp", F.explode(F.array_distinct(F.transform(T.ngrams(T.leak_words(F.col("text")), GRAM), lambda x: F.xxhash64(x)))).alias("gram")))
+    g = cut(_grouped(s, d).select("uid", "grp", F.explode(F.array_distinct(T.gram_hashes(T.leak_words(F.col("text")), GRAM))).alias("gram")))
     many = g.select("gram", "grp").distinct().groupBy("gram").agg(F.count("*").alias("k")).where("k >= 2").select("gram", F.lit(1).alias("hit"))
     return g.join(many, "gram", "left").groupBy("uid").agg(F.count("*").alias("n_grams"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("contained"))
 
@@ -87,7 +87,7 @@ _SPLIT = "(select b.uid, min(m.split) as split, min(b.text) as text from build b
 @query(f"""with t as {_SPLIT}, g as ({_grams_sql('t', 'uid, split')}), tr as (select distinct gram from g where split = 'train')
 select split, count(distinct uid) as n_records, round(avg((tr.gram is not null)::int), 4) as contained from g left join tr using (gram) where split <> 'train' group by split""")
 def d07_eval_containment(s, d):
-    g = cut(_grouped(s, d).select("uid", "split", F.explode(F.array_distinct(F.transform(T.ngrams(T.leak_words(F.col("text")), GRAM), lambda x: F.xxhash64(x)))).alias("gram")))
+    g = cut(_grouped(s, d).select("uid", "split", F.explode(F.array_distinct(T.gram_hashes(T.leak_words(F.col("text")), GRAM))).alias("gram")))
     tr = g.where("split = 'train'").select("gram").distinct().withColumn("hit", F.lit(1))
     e = g.where("split <> 'train'").join(tr, "gram", "left")
     return e.groupBy("split").agg(F.count_distinct("uid").alias("n_records"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("contained"))
@@ -97,7 +97,7 @@ def d07_eval_containment(s, d):
 def d08_leak_prone_fixpoint(s, d):
     """Records outside train of whose grams a share of 0.3 or more is in another group outside the split or in a
     leak-prone record; repeated until no record joins."""
-    g = cut(_grouped(s, d).select("uid", "grp", "split", F.explode(F.array_distinct(F.transform(T.ngrams(T.leak_words(F.col("text")), GRAM), lambda x: F.xxhash64(x)))).alias("gram")))
+    g = cut(_grouped(s, d).select("uid", "grp", "split", F.explode(F.array_distinct(T.gram_hashes(T.leak_words(F.col("text")), GRAM))).alias("gram")))
     n = g.where("split <> 'train'").groupBy("uid").agg(F.count("*").alias("n"))
     prone = cut(g.where("split = 'train'").select("uid").distinct())
     found = None
@@ -198,7 +198,7 @@ p as (select a.grp as a, b.grp as b, count(*) as shared from k a join k b on a.g
 
 
 def _group_pairs(s, d):
-    g = _grouped(s, d).select("grp", F.explode(F.array_distinct(F.transform(T.ngrams(T.leak_words(F.col("text")), GRAM), lambda x: F.xxhash64(x)))).alias("gram"))
+    g = _grouped(s, d).select("grp", F.explode(F.array_distinct(T.gram_hashes(T.leak_words(F.col("text")), GRAM))).alias("gram"))
     g = cut(g.distinct())
     n = g.groupBy("grp").agg(F.count("*").alias("n"))
     k = g.join(g.groupBy("gram").agg(F.count("*").alias("c")).where("c between 2 and 10").select("gram"), "gram", "left_semi")

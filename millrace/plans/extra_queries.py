@@ -71,7 +71,7 @@ def d11_raw_gram_check(s, d):
     """Overlap with train by unfolded words: an independent check of the folded measure."""
     b = table(s, d, "build", "uid", "text").where("text is not null").groupBy("uid").agg(F.min("text").alias("text"))
     m = table(s, d, "split_manifest", "uid", "split").groupBy("uid").agg(F.min("split").alias("split"))
-    g = b.join(m, "uid").select("uid", "split", F.explode(F.array_distinct(F.transform(T.ngrams(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 8), lambda x: F.xxhash64(x)))).alias("gram"))
+    g = b.join(m, "uid").select("uid", "split", F.explode(F.array_distinct(T.gram_hashes(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 8))).alias("gram"))
     g = cut(g)
     tr = g.where("split = 'train'").select("gram", F.lit(1).alias("hit")).distinct()
     return g.where("split <> 'train'").join(tr, "gram", "left").groupBy("split").agg(F.count("*").alias("n_grams"), F.count("hit").alias("n_met"))
