@@ -8,9 +8,8 @@ member on their seeds; pairs whose seeds are too few, or whose lengths rule a ma
 seeds are chained collinearly and the alignment (longest common subsequence of words) decides.
 
 Seeds are shuffled once, as pairs of numbers: a seed, and a class with its side in the two lowest bits; copies are
-represented by one. A seed in more than HOT evaluation classes is left out of the join where a class keeps at
-least half of its seeds without it (a pair that shares more than half of its seeds is found through the others);
-classes made of common seeds keep all.
+represented by one. The evaluation classes of a seed that more than HOT of them hold are dealt into parts of about HOT,
+and its train classes meet each part, so no task gets a whole family and no seed is left out.
 
 Null and empty texts match nothing; a uid without a row in the manifest has no split and is left out; repeated rows
 count once. If the rows of one uid name different splits, the smallest name is taken.
@@ -37,6 +36,7 @@ SIMILARITY = 0.8
 SHORT = 40
 #: The least share of the smaller text's seeds that a pair must have in common to be aligned.
 SEED_SHARE = 0.05
+#: A seed's evaluation classes are joined in parts of about so many.
 HOT = 300
 
 
@@ -165,17 +165,14 @@ def seed_pairs(who: DataFrame) -> DataFrame:
     copies = cut(who.groupBy("whole", "side").agg(F.min("uid").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"))
     every = who.join(bounded(copies), ["whole", "side"], "left").where("rep is null or uid = rep").select(_sided().alias("c"), "side", F.explode("seeds").alias("seed"))
     a, b = (every.where(F.col("side") == s).select("c", "seed") for s in (TRAIN, EVAL))
-    hot = cut(b.groupBy("seed").agg(F.count("*").alias("df")).where(F.col("df") > HOT).select("seed", F.lit(1).alias("hot")))
+    hot = cut(b.groupBy("seed").agg(F.count("*").alias("df")).where(F.col("df") > HOT).select("seed", F.ceil(F.col("df") / HOT).cast("int").alias("parts")))
     size = cut(who.select(_sided().alias("c"), "whole", "n", F.size("seeds").alias("s")).distinct())
     if not hot.isEmpty():
-
-        def thinned(x: DataFrame) -> DataFrame:
-            known = x.join(bounded(hot), "seed", "left")
-            n = known.where("hot is not null").groupBy("c").agg(F.count("*").alias("n_hot"))
-            thin = cut(n.join(size, "c").where("2 * n_hot <= s").select("c", F.lit(1).alias("thin")))
-            return known.join(bounded(thin), "c", "left").where("hot is null or thin is null").select("c", "seed")
-
-        a, b = thinned(a), thinned(b)
+        part = F.when(F.col("parts").isNull(), F.col("seed")).otherwise(F.xxhash64("seed", "part")).alias("seed")
+        dealt = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
+        b = b.join(bounded(hot), "seed", "left").withColumn("part", dealt).select("c", part)
+        parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        a = a.join(bounded(hot), "seed", "left").withColumn("part", F.explode(parts)).select("c", part)
     met = a.withColumnRenamed("c", "ca").join(b.withColumnRenamed("c", "cb"), "seed").groupBy("ca", "cb").agg(F.count("*").alias("shared"))
     x = size.select(F.col("c").alias("ca"), F.col("whole").alias("whole_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
     y = size.select(F.col("c").alias("cb"), F.col("whole").alias("whole_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))

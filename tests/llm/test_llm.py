@@ -289,6 +289,27 @@ def test_overlaps_against_all_pairs(spark):
     assert ("t20", "vcopy") in want and got == want
 
 
+def edited(rng, words, n):
+    """words with n of them replaced by words of no other text."""
+    w = list(words)
+    for j in rng.sample(range(len(w)), n):
+        w[j] = "x" + "".join(chr(97 + rng.randrange(26)) for _ in range(9))
+    return w
+
+
+def test_overlaps_of_a_family_of_edited_texts(spark):
+    """More edited variants of one text than HOT: what they share are hot seeds only."""
+    rng = random.Random(21)
+    template = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+    texts = {f"{'t' if i < 6 else 'v'}{i:04d}": edited(rng, template, 12) for i in range(3 * overlap.HOT)}
+    b = build(spark, [{"uid": u, "text": " ".join(w), "source": "book", "source_path": "book/a/1"} for u, w in texts.items()])
+    m = manifest(spark, [(u, "train" if u[0] == "t" else "test", None) for u in texts])
+    none = furniture.frequent_lines(furniture.line_sequences(b.where("false")))
+    got = {tuple(r) for r in overlap.found(b, m, none).collect()}
+    want = {(t, v) for t in texts for v in texts if t[0] == "t" and v[0] == "v" and overlap.common_in_order(texts[t], texts[v]) >= 0.8 * 150}
+    assert len(want) > 4 * overlap.HOT and got == want
+
+
 def test_winnowing_covers_every_window():
     h = np.random.default_rng(3).integers(0, 50, 200).astype(np.uint64)
     at = overlap.winnow(h, 8)
