@@ -1,11 +1,12 @@
 """Same or near-same records across splits: winnowed fingerprints, chained seeds and alignment.
 
 Each text (without its source's furniture) gives the rolling hashes of its SHINGLE-word shingles; winnowing keeps the
-minimum of every WINDOW consecutive hashes. Two kept fingerprints in a row make a seed; of short texts, every shingle
-is one too. Texts equal in all words form
-one class, so copies are compared once. Classes with a train member are joined with classes with a validation or test
-member on their seeds; pairs whose seeds are too few, or whose lengths rule a match out, are dropped; for the rest the
-seeds are chained collinearly and the alignment (longest common subsequence of words) decides.
+minimum of every WINDOW consecutive hashes; a kept fingerprint is a seed, and of texts up to SHORT words (and those that
+may match them) every shingle is. Texts equal in all words form one class, so copies are compared once. Classes with a
+train member are joined with classes with a validation or test member on their seeds. A shared seed counts where an
+alignment through it can still hold enough words by the lengths before and after it; NEEDED of them, or one of texts
+below FEW words, make a pair. Pairs whose counts of words by hash rule a match out are dropped; for the rest the
+alignment (longest common subsequence of words) decides, and the seeds of the matches are chained collinearly.
 
 Seeds are shuffled once, as pairs of numbers: a seed, and a class with its side in the two lowest bits; copies are
 represented by one. The evaluation classes of a seed that more than HOT of them hold are dealt into parts of about HOT,
@@ -32,10 +33,15 @@ from .text import BASE, chunks, codes, line_keys, lists, mix, words
 
 SHINGLE, WINDOW = 5, 4
 SIMILARITY = 0.8
-#: Texts of fewer words have few windows, so every shingle of theirs is a seed as well (and of texts that may match them).
-SHORT = 40
-#: The least share of the smaller text's seeds that a pair must have in common to be aligned.
-SEED_SHARE = 0.05
+#: Every shingle is a seed of texts up to so many words, and of texts that may match them.
+SHORT = 100
+#: Shared seeds that a pair must have to be aligned; texts below FEW words need one. A seed that a text repeats counts as NEEDED.
+NEEDED, FEW = 2, 40
+#: A seed and its position share 63 bits; the last position stands for repeated seeds and for any beyond.
+PLACE = 16
+ANY = (1 << PLACE) - 1
+#: Words are counted by hash in so many classes, up to 255 each.
+BAG = 64
 #: A seed's evaluation classes are joined in parts of about so many.
 HOT = 300
 
@@ -59,13 +65,20 @@ def seeds_of(h: np.ndarray, shingle: int = SHINGLE, window: int = WINDOW) -> tup
     for j in range(k):
         roll = roll * np.uint64(BASE) + h[j : n - k + 1 + j]
     roll = mix(roll)
-    at = winnow(roll, window)
-    f = roll[at]
-    if len(f) > 1:
-        f, at = mix(f[:-1] * np.uint64(BASE) + f[1:]), at[:-1]
-    if n * SIMILARITY <= SHORT:
-        return np.concatenate([f, roll]), np.concatenate([at, np.arange(len(roll))])
-    return f, at
+    at = np.arange(len(roll)) if n * SIMILARITY <= SHORT else winnow(roll, window)
+    return roll[at], at
+
+
+def placed(h: np.ndarray) -> np.ndarray:
+    """Distinct seeds of a text, each with its position in the lowest PLACE bits."""
+    f, at = seeds_of(h)
+    u, first, n = np.unique(f >> np.uint64(PLACE + 1), return_index=True, return_counts=True)
+    return u << np.uint64(PLACE) | np.where(n > 1, ANY, np.minimum(at[first], ANY)).astype(np.uint64)
+
+
+def bag(h: np.ndarray) -> bytes:
+    """Counts of words by hash. Two texts have at most (n + m - sum of differences) / 2 words in common."""
+    return np.minimum(np.bincount((h & np.uint64(BAG - 1)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
 
 
 def _kept_words(b: pa.RecordBatch):
@@ -84,16 +97,17 @@ def _kept_words(b: pa.RecordBatch):
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches, "text"):
         h, start = _kept_words(b)
-        whole, seeds, at = [], [np.zeros(0, np.uint64)], [0]
+        whole, bags, seeds, at = [], [], [np.zeros(0, np.uint64)], [0]
         for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
             x = h[lo:hi]
-            whole.append(int(mix(np.array([np.bitwise_xor.reduce(mix(x + np.arange(len(x), dtype=np.uint64) * np.uint64(BASE))) + np.uint64(len(x))], np.uint64)).view(np.int64)[0]) if hi > lo else None)
-            s = np.unique(seeds_of(x)[0])
+            whole.append(int(mix(np.array([np.bitwise_xor.reduce(mix(x + np.arange(len(x), dtype=np.uint64) * np.uint64(BASE))) + np.uint64(len(x))], np.uint64)).view(np.int64)[0]) & ~3 if hi > lo else None)
+            bags.append(bag(x))
+            s = placed(x)
             seeds.append(s)
             at.append(at[-1] + len(s))
         yield pa.RecordBatch.from_arrays(
-            [b.column("uid"), pa.array(np.diff(start).astype(np.int32)), pa.array(whole, pa.int64()), lists(np.concatenate(seeds).view(np.int64), np.array(at), pa.int64())],
-            names=["uid", "n", "whole", "seeds"],
+            [b.column("uid"), pa.array(np.diff(start).astype(np.int32)), pa.array(whole, pa.int64()), pa.array(bags, pa.binary()), lists(np.concatenate(seeds).view(np.int64), np.array(at), pa.int64())],
+            names=["uid", "n", "whole", "bag", "seeds"],
         )
 
 
@@ -136,8 +150,8 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, chained = [], []
         for x, y in zip(b.column("words_a"), b.column("words_b"), strict=True):
             u, v = (np.asarray(z.values).view(np.uint32).astype(np.uint64) for z in (x, y))
-            chained.append(chain(u, v))
             shared.append(common_in_order(u.tolist(), v.tolist()))
+            chained.append(chain(u, v) if shared[-1] >= SIMILARITY * max(len(u), len(v)) else 0)
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("whole_a", "whole_b", "n_a", "n_b")), pa.array(shared, pa.int32()), pa.array(chained, pa.int32())], names=["whole_a", "whole_b", "n_a", "n_b", "shared", "chained"])
 
 
@@ -145,44 +159,52 @@ TRAIN, EVAL = 1, 2
 
 
 def members(build: DataFrame, manifest: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(uid, side, n, whole, seeds), one row per uid with a split and a text, cut from its lineage. side is TRAIN or EVAL."""
+    """(uid, side, n, whole, bag, seeds), one row per uid with a split and a text, cut from its lineage. side is TRAIN or EVAL."""
     split = manifest.where("uid is not null and split is not null").groupBy("uid").agg(F.min("split").alias("split"))
     side = split.select("uid", F.when(F.col("split").isin("validation", "test"), EVAL).otherwise(TRAIN).alias("side"))
     prints = attach(build, frequent).where("uid is not null and text is not null")
-    prints = prints.mapInArrow(_fingerprints, "uid string, n int, whole bigint, seeds array<bigint>").where("whole is not null")
-    one = prints.groupBy("uid").agg(F.min(F.struct("n", "whole", "seeds")).alias("r"))
-    return cut(one.join(side, "uid").select("uid", "side", "r.n", "r.whole", "r.seeds"))
+    prints = prints.mapInArrow(_fingerprints, "uid string, n int, whole bigint, bag binary, seeds array<bigint>").where("whole is not null")
+    one = prints.groupBy("uid").agg(F.min(F.struct("n", "whole", "bag", "seeds")).alias("r"))
+    return cut(one.join(side, "uid").select("uid", "side", "r.n", "r.whole", "r.bag", "r.seeds"))
 
 
-def _sided(c: str = "whole"):
-    return F.col(c).bitwiseAND(F.lit(~3)).bitwiseOR(F.col("side").cast("bigint"))
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bags leave room for a match."""
+    for b in batches:
+        n, m = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for c in ("bag_a", "bag_b"))
+        room = (n + m - np.abs(x - y).sum(1)) / 2
+        keep = pa.array(room >= SIMILARITY * np.maximum(n, m))
+        yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in ("whole_a", "whole_b")], names=["whole_a", "whole_b"])
 
 
 def seed_pairs(who: DataFrame) -> DataFrame:
     """(whole_a, whole_b): classes of different texts, the first with a train, the second with an evaluation member,
-    that share seeds enough and may match by their lengths."""
+    that share seeds enough and may match by their lengths and words."""
     # Of copies on one side, one stands for all; those classes are few, or else the join shuffles.
     copies = cut(who.groupBy("whole", "side").agg(F.min("uid").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    every = who.join(bounded(copies), ["whole", "side"], "left").where("rep is null or uid = rep").select(_sided().alias("c"), "side", F.explode("seeds").alias("seed"))
-    a, b = (every.where(F.col("side") == s).select("c", "seed") for s in (TRAIN, EVAL))
+    one = who.join(bounded(copies), ["whole", "side"], "left").where("rep is null or uid = rep")
+    every = one.select("side", F.col("whole").alias("c"), "n", F.explode("seeds").alias("x"))
+    every = every.select("side", "c", "n", F.shiftright("x", PLACE).alias("seed"), F.col("x").bitwiseAND(F.lit(ANY)).cast("int").alias("p"))
+    a, b = (every.where(F.col("side") == s).drop("side") for s in (TRAIN, EVAL))
     hot = cut(b.groupBy("seed").agg(F.count("*").alias("df")).where(F.col("df") > HOT).select("seed", F.ceil(F.col("df") / HOT).cast("int").alias("parts")))
-    size = cut(who.select(_sided().alias("c"), "whole", "n", F.size("seeds").alias("s")).distinct())
     if not hot.isEmpty():
         part = F.when(F.col("parts").isNull(), F.col("seed")).otherwise(F.xxhash64("seed", "part")).alias("seed")
         dealt = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
-        b = b.join(bounded(hot), "seed", "left").withColumn("part", dealt).select("c", part)
+        b = b.join(bounded(hot), "seed", "left").withColumn("part", dealt).select("c", "n", part, "p")
         parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-        a = a.join(bounded(hot), "seed", "left").withColumn("part", F.explode(parts)).select("c", part)
-    met = a.withColumnRenamed("c", "ca").join(b.withColumnRenamed("c", "cb"), "seed").groupBy("ca", "cb").agg(F.count("*").alias("shared"))
-    x = size.select(F.col("c").alias("ca"), F.col("whole").alias("whole_a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
-    y = size.select(F.col("c").alias("cb"), F.col("whole").alias("whole_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))
-    # Most pairs share one seed by chance; they can only do if a side has few seeds, so only these meet its sizes.
-    few = SEED_SHARE * F.col("s") <= 1
-    small = cut(size.where(few).select("c", F.lit(1).alias("few")))
-    left, right = (bounded(small).select(F.col("c").alias(f"c{k}"), F.col("few").alias(f"few_{k}")) for k in "ab")
-    likely = met.join(left, "ca", "left").join(right, "cb", "left").where("shared > 1 or few_a = 1 or few_b = 1").join(x, "ca").join(y, "cb").where("whole_a <> whole_b")
-    near = likely.where((F.col("shared") >= SEED_SHARE * F.least("s_a", "s_b")) & (F.col("n_a") >= SIMILARITY * F.col("n_b")) & (F.col("n_b") >= SIMILARITY * F.col("n_a")))
-    return near.select("whole_a", "whole_b")
+        a = a.join(bounded(hot), "seed", "left").withColumn("part", F.explode(parts)).select("c", "n", part, "p")
+    a, b = (x.select("seed", *(F.col(c).alias(f"{c}_{k}") for c in ("c", "n", "p"))) for x, k in ((a, "a"), (b, "b")))
+    repeated = (F.col("p_a") == ANY) | (F.col("p_b") == ANY)
+    # What an alignment through the seed can hold: the lesser length before it, the seed, the lesser length after it.
+    held = F.least("p_a", "p_b") + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    fits = (F.col("n_a") >= SIMILARITY * F.col("n_b")) & (F.col("n_b") >= SIMILARITY * F.col("n_a")) & (repeated | (held >= SIMILARITY * F.greatest("n_a", "n_b")))
+    counts = F.when(repeated | (F.least("n_a", "n_b") < FEW), NEEDED).otherwise(1)
+    met = a.join(b, "seed").where(fits & (F.col("c_a") != F.col("c_b"))).groupBy("c_a", "c_b").agg(F.sum(counts).alias("shared")).where(F.col("shared") >= NEEDED)
+    met = cut(met.select(F.col("c_a").alias("whole_a"), F.col("c_b").alias("whole_b")))
+    size = who.select("whole", "n", "bag").dropDuplicates(["whole"])
+    x, y = (size.select(*(F.col(c).alias(f"{c}_{k}") for c in ("whole", "n", "bag"))) for k in "ab")
+    return met.join(x, "whole_a").join(y, "whole_b").mapInArrow(_likely, "whole_a bigint, whole_b bigint")
 
 
 def class_pairs(build: DataFrame, frequent: DataFrame, who: DataFrame) -> DataFrame:

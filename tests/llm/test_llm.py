@@ -310,6 +310,24 @@ def test_overlaps_of_a_family_of_edited_texts(spark):
     assert len(want) > 4 * overlap.HOT and got == want
 
 
+def test_overlaps_of_evenly_edited_texts(spark):
+    """Every sixth to ninth word changed: hardly any two fingerprints in a row survive."""
+    rng = random.Random(22)
+    texts = {}
+    for i in range(120):
+        w = [f"w{rng.randrange(10**6)}".translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(rng.choice([20, 40, 65, 80, 100]))]
+        step = rng.choice([6, 7, 8, 9])
+        texts[f"t{i:03d}"], texts[f"v{i:03d}"] = w, [f"x{x}" if j % step == step // 2 else x for j, x in enumerate(w)]
+    # Texts of few different seeds, and one of a single word.
+    texts |= {"t900": ["ha"] * 60, "v900": ["ha"] * 55, "t901": ["ha", "ho"] * 40, "v901": ["ha", "ho"] * 36 + ["hu"], "t902": ["one"], "v902": ["one"]}
+    b = build(spark, [{"uid": u, "text": " ".join(w), "source": "book", "source_path": "book/a/1"} for u, w in texts.items()])
+    m = manifest(spark, [(u, "train" if u[0] == "t" else "test", None) for u in texts])
+    none = furniture.frequent_lines(furniture.line_sequences(b.where("false")))
+    got = {tuple(r) for r in overlap.found(b, m, none).collect()}
+    want = {(t, v) for t in texts for v in texts if t[0] == "t" and v[0] == "v" and overlap.common_in_order(texts[t], texts[v]) >= 0.8 * max(len(texts[t]), len(texts[v]))}
+    assert len(want) >= 120 and got == want
+
+
 def test_winnowing_covers_every_window():
     h = np.random.default_rng(3).integers(0, 50, 200).astype(np.uint64)
     at = overlap.winnow(h, 8)
