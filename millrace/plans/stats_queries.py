@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..io import table
 from ..operators import folds
+from ..session import cut
 from .catalog import query
 
 _TOK = "(select doc_id, unnest(range(len(w))) as pos, unnest(w) as w from (select doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') as w from documents where text is not null))"
@@ -154,8 +159,7 @@ _CMP = f"""with {_BOOT}, base as (select min(candidate) as b from c), d as (sele
 p as (select candidate, count(*) as n, round(avg(d), 6) as delta, least(1.0, 2.0 * least(count(*) filter (where d <= 0), count(*) filter (where d >= 0)) / count(*)) as p, round(quantile_cont(d, 0.05), 6) as lo90, round(quantile_cont(d, 0.95), 6) as hi90 from d group by candidate)"""
 
 
-def _compared(s, d):
-    r = _reps(s, d)
+def _compared(r):
     base = r.agg(F.min("candidate").alias("b"))
     b = r.join(F.broadcast(base), r.candidate == base.b).select("r", F.col("bpb").alias("bpb0"), "b")
     x = r.join(b, "r").where("candidate <> b").withColumn("d", F.col("bpb") - F.col("bpb0"))
@@ -163,15 +167,11 @@ def _compared(s, d):
     return x.groupBy("candidate").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("delta"), p.alias("p"), F.round(F.percentile("d", 0.05), 6).alias("lo90"), F.round(F.percentile("d", 0.95), 6).alias("hi90"))
 
 
-@query(f"{_CMP} select candidate, delta, round(p, 6) as p, lo90, hi90, (lo90 > -0.05 and hi90 < 0.05) as equivalent from p")
-def l05_intervals_and_equivalence(s, d):
-    return _compared(s, d).select("candidate", "delta", F.round("p", 6).alias("p"), "lo90", "hi90", ((F.col("lo90") > -0.05) & (F.col("hi90") < 0.05)).alias("equivalent"))
+def _verdict(o):
+    return o.select("candidate", "delta", F.round("p", 6).alias("p"), "lo90", "hi90", ((F.col("lo90") > -0.05) & (F.col("hi90") < 0.05)).alias("equivalent"))
 
 
-@query(f"{_CMP}, o as (select candidate, p, row_number() over (order by p, candidate) - 1 as i, count(*) over () as m from p) select candidate, round(max(least(1.0, (m - i) * p)) over (order by p, candidate rows unbounded preceding), 6) as adjusted from o")
-def l06_w07_holm(s, d):
-    """Step-down adjustment; one row per candidate, a table as small as the list of candidates."""
-    o = _compared(s, d)
+def _holm(o):
     w = Window.orderBy("p", "candidate")
     o = o.withColumn("i", F.row_number().over(w) - 1).withColumn("m", F.count("*").over(Window.partitionBy()))
     adj = F.max(F.least(F.lit(1.0), (F.col("m") - F.col("i")) * F.col("p"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -185,6 +185,72 @@ def _ranked(s, d):
     return table(s, d, "health_gates_and_support", "id", "dev_fertility", "dev_bytes_per_token").dropna().groupBy("id").agg(F.min("dev_fertility").alias("a"), F.min("dev_bytes_per_token").alias("b"))
 
 
+@query(f"{_CMP} select candidate, delta, round(p, 6) as p, lo90, hi90, (lo90 > -0.05 and hi90 < 0.05) as equivalent from p")
+def l05_intervals_and_equivalence(s, d):
+    return _verdict(_compared(_reps(s, d)))
+
+
+@query(f"{_CMP}, o as (select candidate, p, row_number() over (order by p, candidate) - 1 as i, count(*) over () as m from p) select candidate, round(max(least(1.0, (m - i) * p)) over (order by p, candidate rows unbounded preceding), 6) as adjusted from o")
+def l06_w07_holm(s, d):
+    """Step-down adjustment; one row per candidate, a table as small as the list of candidates."""
+    return _holm(_compared(_reps(s, d)))
+
+
+#: Replicates of the hierarchical form, and cells of weights held at once.
+HIERARCHICAL_REPS, CELLS = 10_000, 2_000_000
+
+
+def hierarchical_reps(x, n_reps=HIERARCHICAL_REPS):
+    """(r, candidate, bpb): clusters resampled within their source, the same ones for all candidates, and seeds within
+    the candidate. x is _bits. Each candidate's clusters go to one task, which draws weights in blocks."""
+    c = x.groupBy("candidate", "seed", "source", "group_key").agg(F.sum("bits").cast("double").alias("bits"), F.sum("bytes").cast("double").alias("bytes"))
+    k = x.select("source", "group_key").distinct()
+    k = k.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("group_key")) - 1)
+    k = k.join(k.groupBy("source").agg(F.count("*").alias("k")), "source").withColumn("key", F.crc32(F.col("source").cast("binary")))
+
+    def draw(t: pa.Table) -> pa.Table:
+        seeds, at = np.unique(t["seed"].to_numpy(), return_inverse=True)
+        source, i, size, bits, bytes_ = (t[z].to_numpy() for z in ("key", "i", "k", "bits", "bytes"))
+        total = np.zeros((2, n_reps, len(seeds)))
+        for key in np.unique(source):
+            own = source == key
+            n = int(size[own][0])
+            sums = np.zeros((2, n, len(seeds)))
+            np.add.at(sums[0], (i[own], at[own]), bits[own])
+            np.add.at(sums[1], (i[own], at[own]), bytes_[own])
+            rng, step = np.random.default_rng([7, int(key)]), max(1, CELLS // n)
+            for lo in range(0, n_reps, step):
+                w = rng.multinomial(n, np.full(n, 1 / n), min(step, n_reps - lo)).astype(float)
+                total[:, lo : lo + step] += w @ sums
+        name = t["candidate"][0].as_py()
+        m = np.random.default_rng([11, zlib.crc32(name.encode())]).multinomial(len(seeds), np.full(len(seeds), 1 / len(seeds)), n_reps)
+        num, den = (total * m).sum(2)
+        some = den > 0
+        return pa.table({"r": pa.array(np.flatnonzero(some).astype(np.int32)), "candidate": pa.array([name] * int(some.sum()), pa.string()), "bpb": num[some] / den[some]})
+
+    rows = c.where("candidate is not null and seed is not null").join(k, ["source", "group_key"]).select("candidate", "seed", "key", "i", "k", "bits", "bytes")
+    return cut(rows.groupBy("candidate").applyInArrow(draw, "r int, candidate string, bpb double"))
+
+
+def _limits(r):
+    return r.groupBy("candidate").agg(F.count("*").alias("n_reps"), F.round(F.avg("bpb"), 6).alias("mean_bpb"), F.round(F.percentile("bpb", 0.025), 6).alias("lo"), F.round(F.percentile("bpb", 0.975), 6).alias("hi"))
+
+
+@query()
+def l04_hierarchical_bootstrap(s, d):
+    return _limits(hierarchical_reps(_bits(s, d)))
+
+
+@query()
+def l05_hierarchical_intervals(s, d):
+    return _verdict(_compared(hierarchical_reps(_bits(s, d))))
+
+
+@query()
+def l06_hierarchical_holm(s, d):
+    return _holm(_compared(hierarchical_reps(_bits(s, d))))
+
+
 @query(f"with h as (select * from {_RANKED}), p as (select sign(x.a - y.a) * sign(x.b - y.b) as s, x.a = y.a as ta, x.b = y.b as tb from h x join h y on x.id < y.id) select count(*) as n_pairs, round(sum(s) / sqrt((count(*) - sum(ta::int))::double * (count(*) - sum(tb::int))), 6) as tau_b from p")
 def l07_kendall(s, d):
     """Over candidates, a stated small set: pairs are blocked by an inequality join on the id."""

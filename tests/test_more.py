@@ -50,3 +50,30 @@ def test_contacts_and_chunks():
     assert mask_contacts("") == ("", {})
     got = chunk_lines(["a b", "c d", "head", "e f", "g h", "i j"], 3, lambda x: " " not in x)
     assert got == [["a b", "c d", "head", "e f", "g h", "i j"]] and chunk_lines([], 3, bool) == [[]]
+
+
+def test_hierarchical_bootstrap_against_numpy(spark):
+    """Clusters within source and seeds within candidate, 10,000 times; the seeds make most of the spread here."""
+    import numpy as np
+
+    from millrace.plans.stats_queries import _limits, hierarchical_reps
+
+    g = np.random.default_rng(3)
+    sizes, seeds, reps = {"a": 7, "b": 12}, 4, 10_000
+    clusters = [(src, f"{src}{i}") for src, n in sizes.items() for i in range(n)]
+    nbytes = g.integers(50, 150, len(clusters))
+    bits = {c: nbytes * (1 + 0.3 * g.random(len(clusters)) + np.arange(seeds)[:, None] * 0.2) for c in ("x", "y")}
+    rows = [(c, s, f"u{k}", float(b[s, k]), int(nbytes[k]), *clusters[k]) for c, b in bits.items() for s in range(seeds) for k in range(len(clusters))]
+    x = spark.createDataFrame(rows, "candidate string, seed int, uid string, bits double, bytes long, source string, group_key string")
+    r = hierarchical_reps(x)
+    got = {v.candidate: v for v in _limits(r).collect()}
+    for c, b in bits.items():
+        w = np.zeros((reps, len(clusters)))
+        for src in sizes:
+            own = np.array([k for k, (z, _) in enumerate(clusters) if z == src])
+            for q, drawn in enumerate(own[g.integers(0, len(own), (reps, len(own)))]):
+                np.add.at(w[q], drawn, 1)
+        m = np.array([np.bincount(z, minlength=seeds) for z in g.integers(0, seeds, (reps, seeds))])
+        want = (m * (w @ b.T)).sum(1) / (seeds * (w @ nbytes))
+        assert got[c].n_reps == reps and abs(got[c].mean_bpb - want.mean()) < 0.01
+        assert abs(got[c].lo - np.quantile(want, 0.025)) < 0.03 and abs(got[c].hi - np.quantile(want, 0.975)) < 0.03 and got[c].hi - got[c].lo > 0.3
