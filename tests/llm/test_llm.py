@@ -328,11 +328,45 @@ def test_overlaps_of_evenly_edited_texts(spark):
     assert len(want) >= 120 and got == want
 
 
-def test_winnowing_covers_every_window():
-    h = np.random.default_rng(3).integers(0, 50, 200).astype(np.uint64)
-    at = overlap.winnow(h, 8)
-    assert all(any(i <= p < i + 8 for p in at) for i in range(len(h) - 7))
-    assert overlap.winnow(h[:3], 8).tolist() == [2 - int(np.argmin(h[:3][::-1]))]
+def test_seeds_survive_edits():
+    """Of pairs with 80 to 90 % of their words in common, at every length and kind of edit, at most 3 % share too few seeds."""
+    rng = np.random.default_rng(5)
+    for n in (6, 20, 40, 63, 64, 100, 150, 300, 700):
+        for every in (5, 6, 8, None):
+            a = [rng.integers(1, 1 << 62, n).astype(np.uint64) for _ in range(100)]
+            b = [x.copy() for x in a]
+            for x in b:
+                at = np.arange(rng.integers(every), n, every) if every else rng.choice(n, int(n * 0.195), replace=False)
+                x[at] = rng.integers(1, 1 << 62, len(at))
+            start = np.arange(101) * n
+            (sa, ia), (sb, ib) = (overlap.seeds_of(np.concatenate(x), start) for x in (a, b))
+            close = [i for i in range(100) if overlap.common_in_order(a[i].tolist(), b[i].tolist()) >= 0.8 * n]
+            few = [len(np.intersect1d(sa[ia[i] : ia[i + 1]] >> np.uint64(16), sb[ib[i] : ib[i + 1]] >> np.uint64(16))) * (2 if n < overlap.FEW else 1) < overlap.NEEDED for i in close]
+            assert sum(few) <= 0.05 * max(20, len(close)), (n, every)
+
+
+def test_seeds_of_a_batch_are_those_of_each_text():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(1, 40, n).astype(np.uint64) for n in (0, 1, 2, 5, 30, 70, 0, 400)]
+    start = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    s, at = overlap.seeds_of(np.concatenate(texts), start)
+    for i, x in enumerate(texts):
+        own, _ = overlap.seeds_of(x, np.array([0, len(x)]))
+        assert s[at[i] : at[i + 1]].tolist() == own.tolist()
+
+
+def test_chain_extended_by_alignment():
+    rng = random.Random(9)
+    for _ in range(60):
+        a = [rng.randrange(1, 60) for _ in range(rng.randrange(0, 90))]
+        b = [rng.randrange(1, 60) if rng.random() < 0.12 else x for x in a if rng.random() > 0.05]
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        links = overlap.chain(x, y)
+        assert all(p < q and r < t for (p, r), (q, t) in zip(links, links[1:], strict=False))
+        exact = lcs(a, b)
+        assert overlap.extended(x, y) <= exact
+        need = 0.8 * max(len(a), len(b))
+        assert (overlap.alignment(x, y) >= need) == (exact >= need)
 
 
 # --- p5 ----------------------------------------------------------------------------------------------------------
