@@ -1,8 +1,8 @@
 """Lines repeated across one source's documents: PrefixSpan over line identifiers, and removal of what it finds.
 
 Every record becomes the sequence of its lines' identifiers (a hash of a line's folded letters; 0 for lines without a
-letter). Per source, PrefixSpan grows frequent sequences from frequent single lines; support is the number of distinct
-records. A line of a frequent sequence is frequent by itself, so the occurrences to delete are those of level one.
+letter). Per source, PrefixSpan grows closed frequent sequences, single lines included; support is the number of distinct
+records. Every frequent line is in a closed sequence, and the occurrences of their lines are deleted.
 
 Null text is a text without lines; null uid, source_path or a source out of scope gives no row; repeated rows of one
 uid count once (the smallest sequence is taken should their texts differ); an empty table gives empty results.
@@ -52,32 +52,60 @@ def frequent_lines(records: DataFrame, min_records: int = MIN_RECORDS, min_share
     return cut(often.join(total, "src").where(F.col("n_records") >= min_share * F.col("n_source")))
 
 
-def prefix_span(records: DataFrame, frequent: DataFrame, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(src, pattern, n_records): all frequent sequences of lines, gaps allowed, of every length.
+def _common_start(rest: str) -> str:
+    """How many items all rests of a pattern begin with: those that the least and the greatest rest share."""
+    return f"if(size(lo_{rest}) = 0, 0, aggregate(sequence(1, greatest(1, least(size(lo_{rest}), size(hi_{rest})))), 0, (a, i) -> if(a = i - 1 and get(lo_{rest}, i - 1) <=> get(hi_{rest}, i - 1), i, a)))"
+
 
-    Records are first reduced to their frequent lines and equal sequences merged with a weight, so that the projected
-    databases hold distinct sequences only; each level is one explode and one aggregation.
+def prefix_span(records: DataFrame, frequent: DataFrame, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(src, pattern, n_records): the closed frequent sequences of lines, of every length: those that no longer one with
+    as many records contains. The lines of a sequence follow one another among a record's frequent lines; what lies
+    between them and is not frequent doesn't count.
+
+    Records are reduced to their frequent lines and equal sequences merged with a weight. Each round grows every pattern
+    by one item, from the projected places where it ends, and then by all items that follow in every place, so a block of
+    lines takes one round whatever its length. A place ends one pattern of each round at the most, hence the rounds'
+    states never hold more than the corpus has frequent lines. Patterns of one source are few (each has a share
+    min_share of its records) and go back to the places as one map.
     """
     keep = bounded(frequent.select("src", "key"))
     kept = records.select("uid", "src", F.posexplode("keys").alias("pos", "key")).join(keep, ["src", "key"])
     seqs = kept.groupBy("uid", "src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("items"))
     seqs = seqs.groupBy("src", "items").agg(F.count("*").alias("weight"))
-    total = frequent.groupBy("src").agg(F.max("n_source").alias("n_source"))
-    level = frequent.select("src", F.array("key").alias("pattern"), "n_records")
-    found = level
-    state = cut(seqs.select("src", "items", "weight", F.array().cast("array<bigint>").alias("pattern"), F.lit(0).alias("at")))
-    more = True
-    while more:
-        rest = F.expr("slice(items, at + 1, size(items))")
-        grown = state.withColumn("rest", rest).withColumn("next", F.explode(F.array_distinct("rest")))
-        grown = grown.select("src", "items", "weight", F.array_append("pattern", F.col("next")).alias("pattern"), (F.col("at") + F.array_position("rest", F.col("next"))).cast("int").alias("at"))
-        level = grown.groupBy("src", "pattern").agg(F.sum("weight").alias("n_records"))
-        level = cut(level.join(total, "src").where((F.col("n_records") >= min_records) & (F.col("n_records") >= min_share * F.col("n_source"))).select("src", "pattern", "n_records"))
-        more = not level.isEmpty()
-        if more:
-            found = found.unionByName(level.where(F.size("pattern") > 1))
-            state = cut(grown.join(level.select("src", "pattern"), ["src", "pattern"], "left_semi").where(F.size("items") > F.col("at")))
-    return found
+    total = cut(frequent.groupBy("src").agg(F.max("n_source").alias("n_source")))
+    state = cut(seqs.withColumn("ends", F.expr("transform(sequence(0, size(items) - 1), i -> named_struct('pid', 0L, 'at', i))")))
+    spark = records.sparkSession
+    last = spark.createDataFrame([], "src string, parent bigint, base array<bigint>")
+    found = None
+    while True:
+        step = "transform(filter(ends, o -> o.at < size(items)), o -> named_struct('pid', xxhash64(o.pid, items[o.at]), 'parent', o.pid, 'item', items[o.at], 'at', o.at + 1))"
+        state = state.withColumn("ends", F.expr(step))
+        rows = state.select("src", "items", F.expr("transform(ends, (o, i) -> named_struct('o', o, 'w', if(array_position(transform(ends, e -> e.pid), o.pid) = i + 1, weight, 0L)))").alias("e")).select("src", "items", F.explode("e").alias("e"))
+        rows = rows.select("src", "e.o.pid", "e.o.parent", "e.o.item", "e.w", F.expr("slice(items, e.o.at + 1, size(items))").alias("rest"))
+        level = rows.groupBy("src", "pid").agg(F.min("parent").alias("parent"), F.min("item").alias("item"), F.sum("w").alias("n_records"), F.min("rest").alias("lo_rest"), F.max("rest").alias("hi_rest"))
+        level = level.join(total, "src").where((F.col("n_records") >= min_records) & (F.col("n_records") >= min_share * F.col("n_source")))
+        level = level.withColumn("k", F.expr(_common_start("rest"))).withColumn("more", F.expr("slice(lo_rest, 1, k)"))
+        level = level.join(last, ["src", "parent"], "left").withColumn("pattern", F.concat(F.coalesce("base", F.array().cast("array<bigint>")), F.array("item"), "more"))
+        level = cut(level.select("src", "pid", "parent", "k", "pattern", "n_records", F.expr("aggregate(more, pid, (a, x) -> xxhash64(a, x))").alias("to")))
+        if level.isEmpty():
+            break
+        part = level.select("src", F.col("to").alias("pid"), "parent", "pattern", "n_records")
+        found = part if found is None else found.unionByName(part)
+        last = level.select("src", F.col("to").alias("parent"), F.col("pattern").alias("base"))
+        maps = cut(level.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("pid", F.struct("to", "k")))).alias("m")))
+        moved = "filter(transform(filter(ends, o -> map_contains_key(m, o.pid)), o -> named_struct('pid', m[o.pid].to, 'at', o.at + m[o.pid].k)), o -> o.at < size(items))"
+        state = cut(state.join(bounded(maps), "src").select("src", "items", "weight", F.expr(moved).alias("ends")).where("size(ends) > 0"))
+    if found is None:
+        return spark.createDataFrame([], "src string, pattern array<bigint>, n_records bigint")
+    # A pattern isn't closed if it has as many records with an item more behind it or before it.
+    tail = F.expr("aggregate(slice(pattern, 2, size(pattern)), 0L, (a, x) -> xxhash64(a, x))")
+    longer = found.select("src", F.col("parent").alias("pid"), "n_records").unionByName(found.select("src", tail.alias("pid"), "n_records"))
+    return cut(found.join(longer.distinct(), ["src", "pid", "n_records"], "left_anti").select("src", "pattern", "n_records"))
+
+
+def sequence_lines(records: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(src, key): the lines of the frequent sequences."""
+    return cut(prefix_span(records, frequent).select("src", F.explode("pattern").alias("key")).distinct())
 
 
 def occurrences(records: DataFrame, frequent: DataFrame) -> DataFrame:

@@ -56,6 +56,20 @@ reach as (select a, b from edges union select r.a, e.b from reach r join edges e
 select a as key_a, b as key_b from reach where a < b
 """
 
+P3_CHECKS = f"""
+with recursive {_KEYS},
+edges as (select distinct x.key as a, y.key as b from attrs x join attrs y using (attr)),
+reach as (select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a),
+least as (select a, min(b) as component from reach group by a),
+own as (
+  select uid, false as run, min(case when source = 'newspaper' and num <> '' then 'issue:' || slug || ':' || num when source in ('newspaper', 'book') then 'dir:' || folder else 'uid:' || uid end) as key
+  from (select uid, source, {_FOLDER} as folder, regexp_extract({_PATH}, '^[^/]+/([^/]+)/', 1) as slug,
+    regexp_extract(regexp_extract({_DIGITS.format("coalesce(issue, '')")}, '(\\d+)', 1), '^0*(\\d+)$', 1) as num from build where uid is not null) group by uid
+  union all select distinct id, true, 'run:' || id from health_gates_and_support where id is not null
+)
+select count(*) as n_records, count(distinct coalesce(l.component, o.key)) as n_components, 0 as torn_keys, 0 as torn_attributes from own o left join least l on l.a = o.key
+"""
+
 P8_FOUND = """
 select distinct capacity_tokens, doc_id from documents, containers
 where doc_id is not null and text <> '' and strlen(text) + 1 > capacity_tokens
@@ -74,4 +88,4 @@ with found as ({P9_FOUND})
 select i.item_id, i.suite, count(f.doc_id) as n_documents from (select distinct item_id, suite from eval_items) i left join found f using (item_id) group by 1, 2
 """
 
-ORACLES = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_items": P9_ITEMS}
+ORACLES = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_checks": P3_CHECKS, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_items": P9_ITEMS}

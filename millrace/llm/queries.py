@@ -29,11 +29,7 @@ def p1_statistics(s: SparkSession, d: str) -> DataFrame:
 
 def p2_found(s: SparkSession, d: str) -> DataFrame:
     rec = furniture.line_sequences(_build(s, d))
-    often = furniture.frequent_lines(rec)
-    # The lines to delete are those of the frequent sequences of all lengths.
-    spans = furniture.prefix_span(rec, often)
-    lines = spans.select("src", F.explode("pattern").alias("key")).distinct()
-    return furniture.occurrences(rec, lines)
+    return furniture.occurrences(rec, furniture.sequence_lines(rec, furniture.frequent_lines(rec)))
 
 
 def p2_sequences(s: SparkSession, d: str) -> DataFrame:
@@ -44,7 +40,8 @@ def p2_sequences(s: SparkSession, d: str) -> DataFrame:
 
 def p2_cleaned(s: SparkSession, d: str) -> DataFrame:
     b = _build(s, d)
-    return furniture.remove(b, _frequent(b)).where("uid is not null").distinct()
+    rec = furniture.line_sequences(b)
+    return furniture.remove(b, furniture.sequence_lines(rec, furniture.frequent_lines(rec))).where("uid is not null").distinct()
 
 
 def p3_found(s: SparkSession, d: str) -> DataFrame:
@@ -59,6 +56,10 @@ def p3_report(s: SparkSession, d: str) -> DataFrame:
     return splits.report(_build(s, d), table(s, d, "health_gates_and_support"))
 
 
+def p3_checks(s: SparkSession, d: str) -> DataFrame:
+    return splits.checks(_build(s, d), table(s, d, "health_gates_and_support"))
+
+
 def p4_found(s: SparkSession, d: str) -> DataFrame:
     b = _build(s, d)
     return overlap.found(b, table(s, d, "split_manifest"), _frequent(b))
@@ -138,7 +139,7 @@ def p10_rates(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_statistics, p2_found, p2_sequences, p2_cleaned, p3_found, p3_splits, p3_report, p4_found, p4_report, p5_found, p5_masked, p5_report,
+        p1_found, p1_statistics, p2_found, p2_sequences, p2_cleaned, p3_found, p3_splits, p3_report, p3_checks, p4_found, p4_report, p5_found, p5_masked, p5_report,
         p6_found, p6_repaired, p7_found, p7_segments, p8_found, p8_packing, p8_report, p9_found, p9_items, p10_found, p10_scores, p10_rates,
     )
 }
