@@ -2,9 +2,10 @@
 
 E-mail addresses, phone numbers, identity numbers, postal addresses and persons' names are found on a lightly
 normalised copy of the text (invisible characters, marks and kashida dropped, digits made ASCII, letter forms of yeh,
-kaf and heh made one) with a map back to the original offsets. Numbers are validated by their form and then permuted
-by a keyed Feistel network within that form, so that equal numbers, however typed, get one pseudonym in every document
-while their kind stays readable; the other kinds get a short keyed digest. Names are composed of the stems and endings
+kaf and heh made one) with a map back to the original offsets. Numbers are validated (form, region, codes) and their own
+digits permuted by a keyed Feistel network within the form they are typed in, codes kept, so that equal numbers, however
+typed, get the same digits in every document; labelled dates of birth become other days; the other kinds get a short
+keyed digest. Names are composed of the stems and endings
 that the known name parts share, since the list of parts is incomplete.
 
 Null and empty texts hold nothing and stay as they are. Text of any length is processed whole; repeated rows give
@@ -16,20 +17,22 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import date, timedelta
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import NEWLINE, SAME_LETTER, Words, chunks, codes, fold_table, words
 
-KEY = b"millrace: replace this key in production"
 KINDS = ("email", "phone", "id_number", "address", "person")
 
 
@@ -94,11 +97,28 @@ ADDRESS = _re(
 )
 
 
-def feistel(digits: str, key: bytes = KEY, rounds: int = 8) -> str:
-    """A keyed permutation of the strings of so many digits (unbalanced halves swap, so any length works)."""
+#: A date of birth: the word for it, and a day in one of the usual orders. Only masked, and no case of found().
+BIRTH = _re(r"(?<!\w)(?:تاریخ پیدائش|یوم پیدائش|تاریخ ولادت|date of birth|d\.?o\.?b\.?|born(?: on)?) ?:? ?(?P<date>\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d\d|(?:19|20)\d\d([-/.])\d{1,2}\3\d{1,2})(?!\d)", re.I)
+FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
+
+
+def valid(kind: str, raw: str) -> bool:
+    """Whether a number that has the form of its kind can be one: an identity number's region is 0 to 7, a phone's code
+    begins with 02 to 09, and neither is one digit again and again."""
+    c, _ = canonical_digits(kind, raw) if kind in ("phone", "id_number") else (raw, [])
+    if kind == "id_number":
+        return len(set(c)) > 1 and (len(c) == 11 or c[0] in "01234567")
+    if kind == "phone":
+        return c[:1] == "0" and c[1] in "23456789" and len(set(c[4:])) > 1
+    return True
+
+
+def feistel(digits: str, key: bytes, rounds: int = 8) -> str:
+    """A keyed permutation of the strings of so many digits (unbalanced halves swap, so any length works). One digit is
+    shifted by a keyed amount."""
     n = len(digits)
     if n < 2:
-        return digits
+        return "".join(str((int(d) + hmac.new(key, b"1", hashlib.sha256).digest()[0]) % 10) for d in digits)
     u = n // 2
     a, b = int(digits[:u]), int(digits[u:])
     wa, wb = u, n - u
@@ -109,10 +129,10 @@ def feistel(digits: str, key: bytes = KEY, rounds: int = 8) -> str:
     return f"{a:0{wa}d}{b:0{wb}d}"
 
 
-def unfeistel(digits: str, key: bytes = KEY, rounds: int = 8) -> str:
+def unfeistel(digits: str, key: bytes, rounds: int = 8) -> str:
     n = len(digits)
     if n < 2:
-        return digits
+        return "".join(str((int(d) - hmac.new(key, b"1", hashlib.sha256).digest()[0]) % 10) for d in digits)
     u = n // 2
     wa, wb = (u, n - u) if rounds % 2 == 0 else (n - u, u)
     a, b = int(digits[:wa]), int(digits[wa:])
@@ -123,26 +143,86 @@ def unfeistel(digits: str, key: bytes = KEY, rounds: int = 8) -> str:
     return f"{a:0{wa}d}{b:0{wb}d}"
 
 
+def permuted_day(day: date, key: bytes) -> date:
+    """A keyed permutation of the days from FIRST_DAY to LAST_DAY, by walking the cycle of a permutation of digits. A day
+    outside stays."""
+    n = (day - FIRST_DAY).days
+    span = (LAST_DAY - FIRST_DAY).days + 1
+    if not 0 <= n < span:
+        return day
+    width = len(str(span - 1))
+    while True:
+        n = int(feistel(f"{n:0{width}d}", key))
+        if n < span:
+            return FIRST_DAY + timedelta(n)
+
+
+def canonical_digits(kind: str, raw: str) -> tuple[str, list[int]]:
+    """A number's national digits in reading order, however it is typed, and for each digit typed its place among them
+    (-1 for a digit of the country code)."""
+    runs = re.findall(r"\d+", raw)
+    d = "".join(runs)
+    if kind == "phone":
+        if len(runs) == 2 and len(runs[0]) >= 6 and runs[1].startswith("0"):
+            n = len(runs[1])
+            return runs[1] + runs[0], [*range(n, n + len(runs[0])), *range(n)]
+        code = 4 if d.startswith("0092") else 2 if d.startswith("92") and len(d) > 11 else 0
+        if code:
+            return "0" + d[code:], [-1] * code + list(range(1, len(d) - code + 1))
+    elif [len(x) for x in runs] == [1, 7, 5]:
+        return "".join(reversed(runs)), [12, *range(5, 12), *range(5)]
+    return d, list(range(len(d)))
+
+
 def canonical(kind: str, raw: str) -> str:
     """One form of an item however it is typed: national digits in reading order, a lower-case address."""
     if kind == "email":
         s = re.sub(rf"{_AT}", "@", raw, flags=re.I)
         return re.sub(rf"{_DOT}", ".", s, flags=re.I).lower()
     if kind in ("phone", "id_number"):
-        runs = re.findall(r"\d+", raw)
-        d = "".join(runs)
-        if kind == "phone":
-            if len(runs) == 2 and len(runs[0]) >= 6:
-                return runs[1] + runs[0]
-            return "0" + d[-10:] if d.startswith(("92", "0092")) and len(d) > 11 else d
-        return "".join(reversed(runs)) if [len(x) for x in runs] == [1, 7, 5] else d
+        return canonical_digits(kind, raw)[0]
     return " ".join(re.findall(r"\w+", raw)).casefold()
 
 
-def placeholder(kind: str, raw: str, key: bytes = KEY) -> str:
-    c = canonical(kind, raw)
-    tag = feistel(c, key) if kind in ("phone", "id_number") else hmac.new(key, f"{kind}:{c}".encode(), hashlib.sha256).hexdigest()[:8]
-    return f"<{kind.upper()}:{tag}>"
+def pseudonym(kind: str, raw: str, key: bytes) -> str:
+    """What stands for an item. A number keeps its typed form, its country, operator or area code (phone) or region
+    (identity number), and has its other digits permuted, so equal numbers agree in all digits however they are typed; a
+    date of birth becomes another day typed alike; anything else becomes a keyed digest."""
+    if kind == "date":
+        parts = re.findall(r"\d+", raw)
+        back = len(parts[0]) == 4
+        y, m, d = (int(x) for x in (parts if back else parts[::-1]))
+        try:
+            day = permuted_day(date(y, m, d), hmac.new(key, b"date", hashlib.sha256).digest())
+        except ValueError:
+            return re.sub(r"\d", "0", raw)
+        new = [day.year, day.month, day.day] if back else [day.day, day.month, day.year]
+        it = iter(f"{n:0{len(p)}d}" for n, p in zip(new, parts, strict=True))
+        return re.sub(r"\d+", lambda _: next(it), raw)
+    if kind not in ("phone", "id_number"):
+        return hmac.new(key, f"{kind}:{canonical(kind, raw)}".encode(), hashlib.sha256).hexdigest()[:8]
+    c, place = canonical_digits(kind, raw)
+    kept = 4 if kind == "phone" else 3 if len(c) == 11 else 1
+    tweak = hmac.new(key, f"{kind}:{c[:kept]}".encode(), hashlib.sha256).digest()
+    new = c[:kept] + feistel(c[kept:], tweak)
+    it = iter(place)
+    return re.sub(r"\d", lambda m: m[0] if (p := next(it)) < 0 else new[p], raw)
+
+
+def placeholder(kind: str, raw: str, key: bytes) -> str:
+    return f"<{kind.upper()}:{pseudonym(kind, raw, key)}>"
+
+
+def secret(spark: SparkSession) -> bytes:
+    """The key of the setting spark.millrace.pii.key, so that pseudonyms link runs. Without it, one of this session's
+    own, drawn at random: pseudonyms then link the documents of the session only, and nobody can undo them."""
+    given = spark.conf.get("spark.millrace.pii.key", None)
+    if given:
+        return given.encode()
+    sc = spark.sparkContext
+    if not hasattr(sc, "_millrace_pii_key"):
+        sc._millrace_pii_key = secrets.token_bytes(32)
+    return sc._millrace_pii_key
 
 
 @dataclass
@@ -225,8 +305,9 @@ def _inside(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
 
 
-def find(col: pa.Array, names: Names) -> list[tuple[int, str, int, int, str]]:
-    """(row, kind, start, end, light text) of each item, by row and start; offsets in code points of the original."""
+def find(col: pa.Array, names: Names, dates: bool = False) -> list[tuple[int, str, int, int, str]]:
+    """(row, kind, start, end, light text) of each item, by row and start; offsets in code points of the original. With
+    dates, labelled dates of birth too (kind date)."""
     cp, start = codes(col)
     g = light_table()[cp]
     keep = np.flatnonzero(g)
@@ -250,8 +331,10 @@ def find(col: pa.Array, names: Names) -> list[tuple[int, str, int, int, str]]:
         for kind, pattern in (("email", EMAIL), ("id_number", ID_NUMBER), ("phone", PHONE), ("address", ADDRESS)):
             for m in pattern.finditer(t):
                 a, b = m.span()
-                if all(b <= x or a >= y for x, y, _ in own):
+                if all(b <= x or a >= y for x, y, _ in own) and valid(kind, m[0]):
                     own.append((a, b, kind))
+        if dates:
+            own += [(*m.span("date"), "date") for m in BIRTH.finditer(t) if all(m.end("date") <= x or m.start("date") >= y for x, y, _ in own)]
         taken += [(lo + a, lo + b, k) for a, b, k in own]
     w = words(cp, start)
     for i, j in _persons(names, w, cp):
@@ -274,31 +357,37 @@ def _names(parts: DataFrame) -> Names:
 
 def locate(texts: DataFrame, parts: DataFrame) -> DataFrame:
     """(uid, kind, start_at, end_at, pseudonym): one row per item of each row of texts (uid, text)."""
-    names = _names(parts)
+    names, key = _names(parts), secret(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             rows = find(b.column("text"), names)
             if rows:
                 at, kind, lo, hi, raw = zip(*rows, strict=True)
-                tags = [placeholder(k, r) for k, r in zip(kind, raw, strict=True)]
+                # Of a number the digits without their typed form, so that equal ones agree.
+                tags = [canonical(k, p) if k in ("phone", "id_number") else p for k, r in zip(kind, raw, strict=True) for p in (pseudonym(k, r, key),)]
                 yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(at)), pa.array(kind), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(tags)], names=["uid", "kind", "start_at", "end_at", "pseudonym"])
 
     t = texts.select("uid", "text").where("uid is not null and text is not null")
     return t.mapInArrow(run, "uid string, kind string, start_at int, end_at int, pseudonym string")
 
 
-def mask(texts: DataFrame, parts: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(uid, text, pii_masked): every text with its items replaced, and how many of each kind."""
-    names = _names(parts)
+def mask(texts: DataFrame, parts: DataFrame, key: bytes | None = None) -> DataFrame:
+    """(uid, text, pii_masked): every text with its items (and labelled dates of birth) replaced, and how many of each
+    kind. One pass over each text, whatever the number of items."""
+    names, key = _names(parts), key or secret(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
             out, counts = b.column("text").to_pylist(), [{} for _ in range(b.num_rows)]
-            for row, kind, lo, hi, raw in reversed(find(b.column("text"), names)):
-                out[row] = out[row][:lo] + placeholder(kind, raw, key) + out[row][hi:]
-                tag = f"<{kind.upper()}>"
-                counts[row][tag] = counts[row].get(tag, 0) + 1
+            for row, items in groupby(find(b.column("text"), names, dates=True), lambda x: x[0]):
+                text, pieces, at = out[row], [], 0
+                for _, kind, lo, hi, raw in items:
+                    pieces += [text[at:lo], placeholder(kind, raw, key)]
+                    at = hi
+                    tag = f"<{kind.upper()}>"
+                    counts[row][tag] = counts[row].get(tag, 0) + 1
+                out[row] = "".join([*pieces, text[at:]])
             yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(out, pa.string()), pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int64()))], names=["uid", "text", "pii_masked"])
 
     return texts.select("uid", "text").mapInArrow(run, "uid string, text string, pii_masked map<string,bigint>")
