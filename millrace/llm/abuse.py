@@ -8,8 +8,8 @@ the others their worst one and one at an even place. Documents labelled harmful
 taken for annotators' errors and left out of the final fit. Known terms (a
 small, fixed list) join as labelled texts unless the labelled documents show them in harmless use.
 
-Fitted on at most POSITIVES and NEGATIVES labelled documents with the least hashes of doc_id (the parameters bound the
-driver's share); every document is scored, whole. Null and empty texts score null and are never found. A document's
+Fitted on at most POSITIVES and NEGATIVES labelled documents with the least hashes of doc_id, of SAMPLE_BYTES in all (the
+parameters bound the driver's share); every document is scored, whole. Null and empty texts score null and are never found. A document's
 label is the mean of its annotators' (nulls aside), harmful from HARMFUL on.
 """
 
@@ -32,6 +32,8 @@ ORDERS = (2, 3, 4, 5)
 BITS = 19
 WINDOW = 40
 POSITIVES, NEGATIVES = 1000, 3500
+#: Bytes of text that the sample may have; documents beyond, in the order of their hashes, are passed over.
+SAMPLE_BYTES = 32_000_000
 HARMFUL = 0.5
 FOLDS, ROUNDS = 3, 6
 
@@ -251,7 +253,14 @@ def sample(documents: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarr
     per = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id").agg((F.avg("abusive") >= HARMFUL).alias("harmful"))
     h = F.xxhash64("doc_id")
     some = per.where("harmful").orderBy(h, "doc_id").limit(POSITIVES).unionByName(per.where("not harmful").orderBy(h, "doc_id").limit(NEGATIVES))
-    got = documents.where("text is not null and text <> ''").select("doc_id", "text").join(bounded(cut(some)), "doc_id").orderBy("doc_id").toPandas()
+    texts = documents.where("text is not null and text <> ''").select("doc_id", "text").join(bounded(cut(some)), "doc_id")
+    left, taken = SAMPLE_BYTES, []
+    for r in texts.select("doc_id", h.alias("h"), F.octet_length("text").alias("n")).orderBy("h", "doc_id").collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append((r["doc_id"],))
+    keep = documents.sparkSession.createDataFrame(taken, "doc_id bigint").distinct()
+    got = texts.join(F.broadcast(keep), "doc_id").orderBy("doc_id").toPandas()
     return got["text"].tolist(), got["harmful"].to_numpy(bool)
 
 

@@ -1,9 +1,10 @@
 """Language of every document and of every part of a mixed one, by a linear-chain conditional random field.
 
 Words are labelled in context: features are a word's affixes, character n-grams and membership in the languages' lists
-of common words; transitions are learned. The field is trained here, by gradient ascent on the exact conditional
-likelihood (forward-backward), on a bounded sample of SAMPLE records whose words are labelled by the common words that
-only one language has, voting over the neighbouring words of their line. Decoding takes each word's most probable
+of common words; first states and transitions are learned. The field is trained here, by gradient ascent on the exact
+conditional likelihood (forward-backward; words without a label are summed over), on a bounded sample of SAMPLE records
+whose words are labelled by the common words that only one language has, voting over the neighbouring words of their
+line. Words of a script that none of the languages uses are of the state other. Decoding takes each word's most probable
 label; passages are runs of one label, where runs of a few words inside another language are part of it. A passage's
 confidence is the mean posterior of its words.
 
@@ -32,6 +33,10 @@ from .sequences import forward_backward
 from .text import Words, chunks, codes, line_keys, words
 
 SAMPLE = 1200
+#: Bytes of text that the sample may have; records beyond, in the order of their hashes, are passed over.
+SAMPLE_BYTES = 24_000_000
+#: What the field tells apart: the languages, and any other, which a script that none of them uses gives away.
+STATES = (*LANGUAGES, "other")
 BUCKETS = 1 << 14
 ROUNDS = 40
 #: A run of fewer words between two others belongs to the passage before it.
@@ -58,8 +63,19 @@ def features(w: str) -> list[int]:
     names = [f"p{w[:n]}" for n in (1, 2, 3)] + [f"s{w[-n:]}" for n in (1, 2, 3)]
     names += [s[i : i + n] for n in (2, 3) for i in range(len(s) - n + 1)]
     names.append("latin" if w.isascii() else "other")
-    out = {len(LANGUAGES) + hash_name(x) % (BUCKETS - len(LANGUAGES)) for x in names}
-    return sorted(out | {i for i in LEXICON.get(w, ())})
+    out = {len(STATES) + hash_name(x) % (BUCKETS - len(STATES)) for x in names}
+    own = {FOREIGN} if foreign(w) else set(LEXICON.get(w, ()))
+    return sorted(out | own)
+
+
+#: The feature of a word in a script of none of the languages, and its fixed weight for the state other.
+FOREIGN, FOREIGN_WEIGHT = len(LANGUAGES), 30.0
+
+
+def foreign(w: str) -> bool:
+    """Whether most letters of a word are neither Latin nor Arabic."""
+    n = sum(1 for c in w if c.isalpha() and not (c < "\u0250" or "\u0600" <= c <= "\u08ff" or "\ufb50" <= c <= "\ufeff"))
+    return 2 * n > len(w)
 
 
 def hash_name(s: str) -> int:
@@ -88,8 +104,10 @@ def flat(lists_: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 class Field:
     def __init__(self) -> None:
-        k = len(LANGUAGES)
+        k = len(STATES)
         self.weight = np.zeros((BUCKETS, k))
+        self.fixed = np.zeros(k)
+        self.fixed[-1] = FOREIGN_WEIGHT
         self.move = np.zeros((k, k))
         self.first = np.zeros(k)
         self.cache_h = np.zeros(0, np.uint64)
@@ -97,7 +115,14 @@ class Field:
 
     def emissions(self, lists_: list[list[int]]) -> np.ndarray:
         f, s = flat(lists_)
-        return np.add.reduceat(self.weight[f], s[:-1]) if len(f) else np.zeros((0, len(LANGUAGES)))
+        if not len(f):
+            return np.zeros((0, len(STATES)))
+        out = np.add.reduceat(self.weight[f], s[:-1])
+        # A word of a foreign script is other, whatever was learned; no other word is.
+        odd = np.add.reduceat((f == FOREIGN).astype(np.int64), s[:-1]) > 0
+        out[~odd, -1] -= FOREIGN_WEIGHT
+        out[odd] += self.fixed
+        return out
 
     def scores(self, v: Vocabulary) -> np.ndarray:
         """Emission scores of a vocabulary; words met before in this process aren't computed again."""
@@ -120,33 +145,38 @@ class Field:
         return post, moves
 
     def train(self, lists_: list[list[int]], ids: np.ndarray, start: np.ndarray, gold: np.ndarray, rounds: int = ROUNDS, l2: float = 1e-4, rate: float = 0.5) -> None:
-        """AdaGrad on the conditional likelihood of all sequences; gold -1 is no label and adds nothing."""
-        k = len(LANGUAGES)
-        f, s = flat(lists_)
-        of = np.repeat(np.arange(len(lists_)), np.diff(s))
-        seen = gold >= 0
-        observed = np.zeros((len(lists_), k))
-        np.add.at(observed, (ids[seen], gold[seen]), 1)
-        inner = np.ones(len(ids), bool)
-        inner[start[:-1][np.diff(start) > 0]] = False
-        pair = inner & seen & np.concatenate([[False], seen[:-1]])
-        p = np.flatnonzero(pair)
-        moved = np.zeros((k, k))
-        np.add.at(moved, (gold[p - 1], gold[p]), 1)
-        sums = [np.full(x.shape, 1e-6) for x in (self.weight, self.move)]
+        """AdaGrad on the conditional likelihood of all labelled words; gold -1 is no label, and such words are summed
+        over."""
+        sums = [np.full(x.shape, 1e-6) for x in (self.weight, self.move, self.first)]
         n = max(1, len(ids))
         for _ in range(rounds):
-            post, moves = self.posteriors(self.emissions(lists_)[ids], start)
-            expected = np.stack([np.bincount(ids[seen], post[seen, j], len(lists_)) for j in range(k)], 1)
-            g = np.zeros_like(self.weight)
-            diff = (observed - expected)[of]
-            for j in range(k):
-                g[:, j] = np.bincount(f, diff[:, j], BUCKETS)
-            moves = moves * (moved.sum() / max(1e-9, moves.sum()))
-            for x, grad, q in ((self.weight, g / n - l2 * self.weight, sums[0]), (self.move, (moved - moves) / n - l2 * self.move, sums[1])):
+            _, grads = self.likelihood(lists_, ids, start, gold)
+            for x, grad, q in zip((self.weight, self.move, self.first), grads, sums, strict=True):
+                grad = grad / n - l2 * x
                 q += grad * grad
                 x += rate * grad / np.sqrt(q)
 
+    def likelihood(self, lists_: list[list[int]], ids: np.ndarray, start: np.ndarray, gold: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Log likelihood of the labels given the words, unlabelled words summed over, and its gradient by weight, move
+        and first: expectations with the labels held, less those without."""
+        k = len(STATES)
+        f, s = flat(lists_)
+        of = np.repeat(np.arange(len(lists_)), np.diff(s))
+        e = self.emissions(lists_)[ids]
+        held = np.where((gold >= 0)[:, None] & (np.arange(k) != gold[:, None]), -np.inf, e)
+        begins = start[:-1][np.diff(start) > 0]
+        total, grads = 0.0, [np.zeros_like(x) for x in (self.weight, self.move, self.first)]
+        for sign, score in ((1, held), (-1, e)):
+            top = e.max(1, keepdims=True)
+            post, moves, log = forward_backward(np.exp(score - top), start, np.exp(self.first), np.exp(self.move))
+            total += sign * log
+            per = np.stack([np.bincount(ids, post[:, j], len(lists_)) for j in range(k)], 1)[of]
+            for j in range(k):
+                grads[0][:, j] += sign * np.bincount(f, per[:, j], BUCKETS)
+            grads[1] += sign * moves
+            grads[2] += sign * post[begins].sum(0)
+        return total, grads
+
 
 def votes(w: Words, start: np.ndarray, keep: np.ndarray, own: dict[int, int], reach: int = 8) -> np.ndarray:
     """Weak labels: the language whose own common words are most frequent around a word of the same line, else -1."""
@@ -193,13 +223,18 @@ def _kept(b: pa.RecordBatch, names=None) -> tuple[Words, np.ndarray, np.ndarray]
 
 
 def train(build: DataFrame, frequent: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field trained on the records with the least hashes of uid and text; the sample's size is fixed."""
-    rows = attach(build, frequent).select("uid", "text", "furniture").where("uid is not null and text is not null and length(text) < 20000")
+    """A field trained on the records with the least hashes of uid and text, at most `sample` and SAMPLE_BYTES."""
+    rows = attach(build, frequent).select("uid", "text", "furniture").where("uid is not null and text is not null")
     # A threshold on the hash lets about four times the sample through, so that no task sends more than its part.
     share = min(1.0, 4 * sample / max(1, build.count()))
     h = F.xxhash64("uid", "text")
     few = rows.withColumn("h", h).where(F.col("h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
-    got = few.orderBy("h").limit(sample).toPandas()
+    left, taken = SAMPLE_BYTES, []
+    for r in few.select("h", F.octet_length("text").alias("n")).distinct().orderBy("h").limit(sample).collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append(r["h"])
+    got = few.where(F.col("h").isin(taken)).dropDuplicates(["h"]).orderBy("h").toPandas()
     b = pa.RecordBatch.from_pydict({"text": pa.array(got["text"].tolist(), pa.string()), "furniture": pa.array([None if x is None else [int(y) for y in x] for x in got["furniture"]], pa.list_(pa.int64()))})
     w, keep, start = _kept(b)
     v = Vocabulary(w, keep)
@@ -252,14 +287,14 @@ def segments(build: DataFrame, frequent: DataFrame, parts: DataFrame, field: Fie
             v = Vocabulary(w, keep)
             post, _ = field.posteriors(field.scores(v)[v.ids], start)
             got = runs(post.argmax(1), start)
-            cum = np.vstack([np.zeros(len(LANGUAGES)), np.cumsum(post, 0)])
+            cum = np.vstack([np.zeros(len(STATES)), np.cumsum(post, 0)])
             _, base = codes(b.column("text"))
             d, l, a, e = (np.array(x, np.int64) for x in zip(*got, strict=True))
             at = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("uid").take(pa.array(d)),
-                    pa.array([LANGUAGES[i] for i in l.tolist()]),
+                    pa.array([STATES[i] for i in l.tolist()]),
                     pa.array((w.first[at[a]] - base[d]).astype(np.int32)),
                     pa.array((w.end[at[e - 1]] - base[d]).astype(np.int32)),
                     pa.array((e - a).astype(np.int32)),
@@ -283,7 +318,7 @@ def found(build: DataFrame, frequent: DataFrame, parts: DataFrame) -> DataFrame:
     """(uid, lang) of every record out of p1's cases whose label is missing or wrong or that has several languages."""
     junk = bounded(cut(not_prose(build, frequent)))
     rows = build.join(junk, "uid", "left_anti")
-    got = segments(rows, frequent, parts, train(build, frequent)).where(F.col("n_words") >= PASSAGE)
+    got = segments(rows, frequent, parts, train(build, frequent)).where((F.col("n_words") >= PASSAGE) & (F.col("lang") != "other"))
     langs = got.select("uid", "lang").distinct()
     per = cut(langs.groupBy("uid").agg(F.sort_array(F.collect_list("lang")).alias("langs")))
     bad = per.join(labels(build), "uid").where((F.size("langs") > 1) | F.col("label").isNull() | (F.col("label") != F.col("langs")[0]))

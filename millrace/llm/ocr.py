@@ -37,6 +37,9 @@ KNOWN = 0.05
 SUPPORT = 3
 #: Texts with a smaller share of common words are lists, tables or junk.
 RUNNING = 0.3
+#: The same for texts that extraction_method says are scans: heavy damage hides common words.
+RUNNING_SAID = 0.2
+SAID = r"ocr|tesseract"
 HYPHENS = "-­¬‐"
 
 # Shapes that recognition confuses, each pair in both directions.
@@ -83,7 +86,12 @@ def line_kinds(lines: list[str], book: bool) -> tuple[list[str | None], list[boo
         x = lines[i].strip()
         if len(x) <= 20 and _PAGE.fullmatch(x):
             kinds[i] = "page_no"
-        elif i + 1 < len(lines) and _BROKEN.search(lines[i]) and _LETTER.match(lines[i + 1]):
+    for i in filled:
+        # A page's number may stand between the two parts of a broken word.
+        n = i + 1
+        while n < len(lines) and kinds[n] == "page_no":
+            n += 1
+        if kinds[i] is None and n < len(lines) and _BROKEN.search(lines[i]) and _LETTER.match(lines[n]):
             broken[i] = True
     open_ = sum(1 for i in filled if not _OPEN.search(lines[i]))
     wrapped = len(lines) >= 3 and 2 * open_ >= len(filled) and max((len(lines[i]) for i in filled), default=0) <= 100
@@ -106,24 +114,24 @@ def _common(ws: list[str]) -> bool:
     return bool(np.isin(words(cp, start).hash, common_words()).any())
 
 
-def _running(b: pa.RecordBatch, cp: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which texts are running language: enough common words."""
+def _running(b: pa.RecordBatch, cp: np.ndarray, start: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """Which texts are running language: enough common words (fewer, where a scan is said to be one)."""
     w = words(cp, start)
     n = np.diff(w.start)
     doc = np.repeat(np.arange(b.num_rows), n)
-    return np.bincount(doc, np.isin(w.hash, common_words()), b.num_rows) >= RUNNING * np.maximum(n, 1)
+    return np.bincount(doc, np.isin(w.hash, common_words()), b.num_rows) >= np.where(said, RUNNING_SAID, RUNNING) * np.maximum(n, 1)
 
 
 def _scanned(b: pa.RecordBatch, cp: np.ndarray, start: np.ndarray) -> dict[int, tuple[list[str], list[str | None], list[bool]]]:
     """The scanned-looking texts of a batch: lines, kinds, broken."""
     out = {}
-    ok = _running(b, cp, start)
-    said = b.column("extraction_method").to_pylist()
+    said = np.array([bool(re.search(SAID, x or "", re.I)) for x in b.column("extraction_method").to_pylist()], bool)
+    ok = _running(b, cp, start, said)
     for i, s in enumerate(b.column("source").to_pylist()):
         if s in SOURCES and ok[i]:
             lines = b.column("text")[i].as_py().split("\n")
             kinds, broken, scanned = line_kinds(lines, s == "book")
-            if scanned or re.search(r"ocr|tesseract", said[i] or "", re.I):
+            if scanned or said[i]:
                 out[i] = lines, kinds, broken
     return out
 
@@ -151,12 +159,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
         in_scan = np.bincount(which, np.repeat(scan, np.diff(w.start)) * weight, len(h)).astype(np.int64)
         total = np.bincount(which, weight, len(h)).astype(np.int64)
-        fit = w.fold_end[first] - w.fold_first[first] <= 40
-        pick = np.flatnonzero(fit)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([_spell(w, i) for i in first[pick].tolist()], pa.string()), pa.array((total - in_scan)[pick]), pa.array(in_scan[pick])],
-            names=["word", "clean", "scan"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array([_spell(w, i) for i in first.tolist()], pa.string()), pa.array(total - in_scan), pa.array(in_scan)], names=["word", "clean", "scan"])
 
 
 INPUT = ("uid", "text", "source", "extraction_method")
@@ -168,9 +171,31 @@ def lexicon(build: DataFrame) -> DataFrame:
     return cut(rows.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan")))
 
 
-def deletes(w: str, most: int = 2) -> list[str]:
+#: Words of more letters have too many deletions; they are met in their thirds.
+LONG = 40
+
+
+def thirds(w: str, suspect: bool) -> list[str]:
+    """What long words within distance 2 meet in: of three parts at least one is whole, at most two letters off its place.
+    The known word has its own three parts, the suspect every place where such a part may lie."""
+    out = set()
+    for n in range(len(w) - 2, len(w) + 3) if suspect else (len(w),):
+        if n <= LONG:
+            continue
+        for i in range(3):
+            a, b = i * n // 3, (i + 1) * n // 3
+            for shift in range(-2, 3) if suspect else (0,):
+                if 0 <= a + shift and b + shift <= len(w):
+                    out.add(f"{n}:{i}:{w[a + shift : b + shift]}")
+    return sorted(out)
+
+
+def deletes(w: str, most: int = 2, suspect: bool = True) -> list[str]:
     """The word and what remains of it with one letter deleted, of longer words with two, and with shapes that two
-    letters share written as one."""
+    letters share written as one; thirds() of words of more than LONG letters."""
+    far = thirds(w, suspect) if len(w) > LONG - 2 else []
+    if len(w) > LONG + 2:
+        return far
     out = {w}
     for a, b in CLUSTERS:
         if a in w:
@@ -179,7 +204,7 @@ def deletes(w: str, most: int = 2) -> list[str]:
     for _ in range(most if len(w) >= 7 else 1):
         near = {x[:i] + x[i + 1 :] for x in near for i in range(len(x))}
         out |= near
-    return sorted(x for x in out if x)
+    return sorted([*(x for x in out if x), *far])
 
 
 def distance(a: str, b: str) -> float:
@@ -197,14 +222,17 @@ def distance(a: str, b: str) -> float:
     return prev[-1]
 
 
-def _deletes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys, at = [], []
-        for i, w in enumerate(b.column("word").to_pylist()):
-            d = deletes(w)
-            keys += d
-            at += [i] * len(d)
-        yield pa.RecordBatch.from_arrays([b.column("word").take(pa.array(at, pa.int64())), b.column("clean").take(pa.array(at, pa.int64())), pa.array(keys, pa.string())], names=["word", "clean", "key"])
+def _deletes(suspect: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, at = [], []
+            for i, w in enumerate(b.column("word").to_pylist()):
+                d = deletes(w, suspect=suspect)
+                keys += d
+                at += [i] * len(d)
+            yield pa.RecordBatch.from_arrays([b.column("word").take(pa.array(at, pa.int64())), b.column("clean").take(pa.array(at, pa.int64())), pa.array(keys, pa.string())], names=["word", "clean", "key"])
+
+    return run
 
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,15 +255,15 @@ def candidates(lex: DataFrame, bad: DataFrame) -> DataFrame:
     """(word, candidate, clean, distance) of suspects, by the symmetric-delete index; at distance 1 or less, for longer
     words 1.5."""
     kind = "word string, clean bigint, key string"
-    left = bad.select("word", F.lit(0).cast("bigint").alias("clean")).mapInArrow(_deletes, kind).select("word", "key")
-    right = lex.where(F.col("clean") >= SUPPORT).join(bad, "word", "left_anti").where(~F.col("word").rlike(r"[^\p{L}]")).select("word", "clean").mapInArrow(_deletes, kind)
+    left = bad.select("word", F.lit(0).cast("bigint").alias("clean")).mapInArrow(_deletes(True), kind).select("word", "key")
+    right = lex.where(F.col("clean") >= SUPPORT).join(bad, "word", "left_anti").where(~F.col("word").rlike(r"[^\p{L}]")).select("word", "clean").mapInArrow(_deletes(False), kind)
     near = F.abs(F.length("word") - F.length("candidate")) <= 2
     pairs = left.join(right.withColumnRenamed("word", "candidate"), "key").where(near).select("word", "candidate", "clean").distinct()
     got = pairs.mapInArrow(_weigh, "word string, candidate string, clean bigint, distance double")
     return got.where((F.col("distance") <= 1) | (F.col("distance") <= 1.5) & (F.length("word") >= 7))
 
 
-TOKENS = "uid string, line_no int, kind string, word string, pos int, before bigint, after bigint"
+TOKENS = "uid string, line_no int, kind string, word string, pos int, before bigint, after bigint, next int"
 
 
 def _damage(names):
@@ -255,8 +283,8 @@ def _damage(names):
             uid = sub.column("uid").to_pylist()
             out: list[tuple] = []
             for d, (_, (_, kinds, broken)) in enumerate(sorted(got.items())):
-                out += [(uid[d], i, k, None, None, None, None) for i, k in enumerate(kinds) if k]
-                out += [(uid[d], i, "hyphen", None, None, None, None) for i, x in enumerate(broken) if x]
+                out += [(uid[d], i, k, None, None, None, None, None) for i, k in enumerate(kinds) if k]
+                out += [(uid[d], i, "hyphen", None, None, None, None, None) for i, x in enumerate(broken) if x]
                 lo, hi = int(w.start[d]), int(w.start[d + 1])
                 line = w.line[lo:hi].tolist()
                 skip = -1
@@ -266,18 +294,21 @@ def _damage(names):
                         continue
                     text, at = _spell(w, k), l
                     last = k + 1 == hi or line[k + 1 - lo] != l
-                    if last and broken[l] and k + 1 < hi and line[k + 1 - lo] == l + 1:
+                    follow = k + 1
+                    while follow < hi and kinds[line[follow - lo]] == "page_no":
+                        follow += 1
+                    if last and broken[l] and follow < hi and all(kinds[x] == "page_no" for x in range(l + 1, line[follow - lo])):
                         # A broken word counts whole; where it is damaged is decided when it is compared.
-                        text += "\n" + _spell(w, k + 1)
-                        skip = k + 1
-                    if text.isdigit() or len(text) > 80:
+                        text += "\n" + _spell(w, follow)
+                        skip = follow
+                    if text.isdigit():
                         continue
                     before = int(w.hash[k - 1].view(np.int64)) if k > lo else 0
-                    after = int(w.hash[k + 1].view(np.int64)) if k + 1 < hi and skip != k + 1 else 0
-                    out.append((uid[d], at, "word", text, int(w.first[k] - start[d]), before, after))
+                    after = int(w.hash[k + 1].view(np.int64)) if k + 1 < hi and skip <= k else 0
+                    out.append((uid[d], at, "word", text, int(w.first[k] - start[d]), before, after, line[skip - lo] if skip > k else None))
             if out:
                 c = list(zip(*out, strict=True))
-                kinds_ = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+                kinds_ = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(c, kinds_, strict=True)], names=[x.split()[0] for x in TOKENS.split(", ")])
 
     return run
@@ -310,7 +341,7 @@ def found(build: DataFrame, parts: DataFrame) -> DataFrame:
     # In a broken word the damage lies before or after the break: the first part is intact if the candidate begins with it.
     first = F.substring_index("word", "\n", 1)
     second = F.col("word").contains("\n") & F.when(F.col("candidate").isNotNull(), F.col("candidate").startswith(first)).otherwise(~first.rlike(r"[^\p{L}]"))
-    misread = hit.select("uid", (F.col("line_no") + F.when(second, 1).otherwise(0)).alias("line_no"), F.lit("ocr_char").alias("kind"))
+    misread = hit.select("uid", F.when(second, F.col("next")).otherwise(F.col("line_no")).alias("line_no"), F.lit("ocr_char").alias("kind"))
     return structural.unionByName(misread).distinct()
 
 

@@ -23,31 +23,37 @@ from ..session import cut
 from .common import ranked
 
 END_TOKENS = 1
+#: A pattern has at most so many documents.
+FEW = 8
 
 
-def items(documents: DataFrame, capacity: int) -> DataFrame:
-    """(doc_id, pieces, size): what is left to pack of each document, and how many containers it touches."""
+def items(documents: DataFrame, capacities: list[int]) -> DataFrame:
+    """(capacity_tokens, doc_id, tokens, pieces, size): per capacity what is left to pack of each document, and how many
+    containers it touches. The texts are read once for all capacities."""
     d = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", (F.octet_length("text") + END_TOKENS).cast("bigint").alias("tokens"))
-    rest = F.pmod("tokens", F.lit(capacity))
+    d = d.withColumn("capacity_tokens", F.explode(F.array(*(F.lit(c).cast("bigint") for c in capacities))))
+    capacity, rest = F.col("capacity_tokens"), F.expr("tokens % capacity_tokens")
     size = F.when((F.col("tokens") > capacity) | (rest == 0), rest).otherwise(F.col("tokens"))
-    return d.select("doc_id", "tokens", F.ceil(F.col("tokens") / capacity).cast("bigint").alias("pieces"), size.cast("bigint").alias("size"))
+    return d.select("capacity_tokens", "doc_id", "tokens", F.ceil(F.col("tokens") / capacity).cast("bigint").alias("pieces"), size.cast("bigint").alias("size"))
 
 
 def patterns(sizes: np.ndarray, capacity: int, tries: int = 6, seed: int = 7) -> list[tuple[int, ...]]:
-    """Indices into sizes (ascending) of combinations that fill a container well: each starts with one size, goes on
-    with random ones and ends with the size that fits best."""
+    """Indices into sizes (ascending) of combinations of at most FEW that fill a container well: each starts with one
+    size, goes on with random ones and ends with the size that fits best. Those that FEW sizes leave unfilled by more than
+    the least size are left to the packing of the rest."""
     rng = np.random.default_rng(seed)
     out = set()
     for i in range(len(sizes)):
         for t in range(tries):
             left, p = capacity - int(sizes[i]), [i]
-            while left >= sizes[0]:
+            while left >= sizes[0] and len(p) <= FEW:
                 top = int(np.searchsorted(sizes, left, "right")) - 1
                 closing = left <= 2 * sizes[0] or len(p) >= 1 + t or sizes[top] == left
                 j = top if closing else int(rng.integers(0, top + 1))
                 p.append(j)
                 left -= int(sizes[j])
-            out.add(tuple(sorted(p)))
+            if len(p) <= FEW:
+                out.add(tuple(sorted(p)))
     return sorted(out)
 
 
@@ -122,48 +128,66 @@ def ranges(sizes: np.ndarray, made: list[tuple[tuple[int, ...], int]]) -> tuple[
     return a[:, 0], a[:, 1], a[:, 2]
 
 
-def pack(documents: DataFrame, capacity: int) -> DataFrame:
-    """(capacity_tokens, doc_id, tokens, pieces, container): the container of each document, or of its rest. A larger
-    document also fills containers of its own with its full pieces; container is null if it leaves no rest."""
-    it = cut(items(documents, capacity))
-    hist = it.where("size > 0").groupBy("size").agg(F.count("*").alias("n")).orderBy("size").collect()
-    sizes, counts = np.array([r["size"] for r in hist], np.int64), np.array([r["n"] for r in hist], np.int64)
-    s, lo, box = ranges(sizes, plan(sizes, counts, capacity))
-    where = documents.sparkSession.sparkContext.broadcast((s, lo, box))
+def look_up(sizes: np.ndarray, planned: tuple[np.ndarray, np.ndarray, np.ndarray], size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The containers of items, given their sizes and ranks within their size."""
+    s, lo, box = planned
+    first = np.searchsorted(s, sizes)
+    start = np.append(first, len(s))[np.searchsorted(sizes, size)]
+    out = np.empty(len(size), np.int64)
+    # Per size the ranges ascend, so items sorted by size and rank meet them in order.
+    order = np.lexsort((rank, size))
+    k = start[order]
+    end = np.searchsorted(s, size[order], "right")
+    step = 1 << max(0, int((end - k).max() if len(k) else 0).bit_length() - 1)
+    while step:
+        nxt = k + step
+        ok = (nxt < end) & (lo[np.minimum(nxt, len(lo) - 1)] <= rank[order])
+        k = np.where(ok, nxt, k)
+        step >>= 1
+    out[order] = box[k] + rank[order] - lo[k]
+    return out
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, lo, box = where.value
-        first = np.searchsorted(s, s, "left")
-        wide = int(lo.max()) + 1 if len(lo) else 1
-        pos = np.searchsorted(sizes, s).astype(object) * wide + lo
-        pos = np.array(pos.tolist(), dtype=float) if len(s) and len(sizes) * wide > 2**62 else np.array(pos.tolist(), np.int64)
-        del first
-        for b in batches:
-            size, rank = np.asarray(b.column("size"), np.int64), np.asarray(b.column("rank"), np.int64)
-            want = np.searchsorted(sizes, size) * wide + np.minimum(rank, wide - 1)
-            k = np.searchsorted(pos, want, "right") - 1
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tokens"), b.column("pieces"), pa.array(box[k] + rank - lo[k])], names=["doc_id", "tokens", "pieces", "container"])
 
-    kind = "doc_id bigint, tokens bigint, pieces bigint, container bigint"
-    packed = ranked(it.where("size > 0"), ["size"], "doc_id").select("doc_id", "tokens", "pieces", "size", "rank").mapInArrow(look, kind)
-    full = it.where("size = 0").select("doc_id", "tokens", "pieces", F.lit(None).cast("bigint").alias("container"))
-    return packed.unionByName(full).select(F.lit(capacity).cast("bigint").alias("capacity_tokens"), "*")
+PACKED = "capacity_tokens bigint, doc_id bigint, tokens bigint, pieces bigint, container bigint"
 
 
 def pack_all(documents: DataFrame, containers: DataFrame) -> DataFrame:
-    """pack() for every capacity of containers (a fixed, small table)."""
-    out = None
-    for r in containers.select("capacity_tokens").where("capacity_tokens > 0").distinct().orderBy("capacity_tokens").collect():
-        part = pack(documents, int(r["capacity_tokens"]))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return documents.sparkSession.createDataFrame([], "capacity_tokens bigint, doc_id bigint, tokens bigint, pieces bigint, container bigint")
-    return out
+    """(capacity_tokens, doc_id, tokens, pieces, container) for every capacity of containers (a fixed, small table): the
+    container of each document, or of its rest. A larger document also fills containers of its own with its full pieces;
+    container is null if it leaves no rest."""
+    spark = documents.sparkSession
+    capacities = sorted(int(r["capacity_tokens"]) for r in containers.select("capacity_tokens").where("capacity_tokens > 0").distinct().collect())
+    if not capacities:
+        return spark.createDataFrame([], PACKED)
+    it = cut(items(documents, capacities))
+    # At most `capacity` entries per capacity.
+    hist: dict[int, list[tuple[int, int]]] = {c: [] for c in capacities}
+    for r in it.where("size > 0").groupBy("capacity_tokens", "size").agg(F.count("*").alias("n")).orderBy("capacity_tokens", "size").collect():
+        hist[r["capacity_tokens"]].append((r["size"], r["n"]))
+    plans = {}
+    for c, h in hist.items():
+        sizes, counts = np.array([x for x, _ in h], np.int64), np.array([n for _, n in h], np.int64)
+        plans[c] = (sizes, ranges(sizes, plan(sizes, counts, c)))
+    where = spark.sparkContext.broadcast(plans)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cap, size, rank = (np.asarray(b.column(x), np.int64) for x in ("capacity_tokens", "size", "rank"))
+            box = np.zeros(b.num_rows, np.int64)
+            for c in np.unique(cap).tolist():
+                i = np.flatnonzero(cap == c)
+                sizes, planned = where.value[c]
+                box[i] = look_up(sizes, planned, size[i], rank[i])
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("capacity_tokens", "doc_id", "tokens", "pieces")), pa.array(box)], names=[x.split()[0] for x in PACKED.split(", ")])
+
+    packed = ranked(it.where("size > 0"), ["capacity_tokens", "size"], "doc_id").select("capacity_tokens", "doc_id", "tokens", "pieces", "size", "rank").mapInArrow(look, PACKED)
+    full = it.where("size = 0").select("capacity_tokens", "doc_id", "tokens", "pieces", F.lit(None).cast("bigint").alias("container"))
+    return packed.unionByName(full)
 
 
 def found(documents: DataFrame, containers: DataFrame) -> DataFrame:
-    """(capacity_tokens, doc_id) of documents that had to be cut."""
-    return pack_all(documents, containers).where("tokens > capacity_tokens").select("capacity_tokens", "doc_id").distinct()
+    """(capacity_tokens, doc_id) of documents that the packing cut: those in more than one container."""
+    return pack_all(documents, containers).where("pieces > 1").select("capacity_tokens", "doc_id").distinct()
 
 
 def report(documents: DataFrame, containers: DataFrame) -> DataFrame:
