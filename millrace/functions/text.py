@@ -9,15 +9,30 @@ from pyspark.sql import functions as F
 ARABIC = "\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}\\x{FB50}-\\x{FDFF}\\x{FE70}-\\x{FEFF}"
 LANGUAGE = "\\p{L}\\p{M}\\p{N}\\p{P}\\x{0600}-\\x{060F}"
 SPACES = "\\s\\x{00A0}\\x{2007}\\x{202F}"
-STRICT = {"min_chars": 200, "min_words": 25, "min_script": 0.70, "max_other": 0.06, "max_repeat": 0.60}
-PERMISSIVE = {"min_chars": 60, "min_words": 8, "min_script": 0.45, "max_other": 0.25, "max_repeat": 0.90}
-HINDKO_TOKENS = ("دا", "دی", "دے", "نال", "اچ", "سی", "اوہ", "پئے", "ہوسی", "ہک", "جدو", "اناں", "طراں", "تے", "کیتا", "کردے", "آپڑے", "ہوندی", "ایا", "جاندے", "دیاں", "ہوندا", "وسطے", "نوں", "توں", "جاندا", "ساڈے", "جیہڑا", "لوکاں")
-URDU_TOKENS = ("کا", "کی", "کے", "سے", "ہے", "گیا", "تھا", "ہیں", "کیا", "ہمارے", "جب", "وہ", "ایک", "لوگوں", "یہ", "ساتھ", "اپنے", "کہا", "اور", "جاتا", "کرتے", "گا", "ہوتا", "نہیں", "ہوتی")
+STRICT = {"min_chars": 200, "min_words": 25, "min_script": 0.70, "max_other": 0.06, "max_repeat": 0.60, "max_corrupt": 0.005}
+PERMISSIVE = {"min_chars": 60, "min_words": 8, "min_script": 0.45, "max_other": 0.25, "max_repeat": 0.90, "max_corrupt": 0.05}
+HINDKO_TOKENS = (
+    "دا", "دی", "دے", "نال", "اچ", "سی", "کیہڑی", "اوہ", "پئے", "ہوسی", "جانڑیں", "برانڑیں",
+    "ہک", "ہوندے", "جاوے", "ائی", "جدو", "اناں", "طراں", "تے", "کیتا", "ائے", "انہاں", "صیب", "کردے", "آپڑے", "آں", "ہوندی", "ہووے",
+    "وخت", "آپڑی", "ایا", "جاندے", "وے", "پشور", "بچ", "دیاں", "وسے", "کیتی", "ہوندا", "وسطے", "ون", "نوں", "ہونڑے", "اپڑے", "اپڑی",
+    "جاندی", "توں", "ای", "جاندا", "ساڈے", "جیہڑا", "لوکاں",
+)
+URDU_TOKENS = (
+    "کا", "کی", "کے", "سے", "ہے", "جس", "لئے", "گیا", "تھا", "تھی", "ہیں", "رہا", "رہی", "کیا", "ہوئی",
+    "ہمارے", "ہوتے", "جب", "تھے", "اپنی", "وہ", "کیلئے", "جائے", "ایک", "لوگوں", "یہ", "ساتھ", "اپنے", "آج", "ہونے", "کہا", "مجھے",
+    "یہاں", "بات", "اور", "کرتا", "جیسے", "اسے", "جاتا", "انہوں", "کبھی", "سامنے", "جاتے", "کرتے", "انہیں", "گا", "جاتی", "کام", "اپنا",
+    "ہوتا", "نہیں", "ہوں", "ہوتی", "کئے", "زبانوں", "بنا", "وہاں", "دیا",
+)
 HINDKO_MIN, URDU_MAX = 0.70, 0.30
-AD_WORDS = ("اشتہار", "تشہیر", "آرڈر کریں", "خصوصی رعایت", "رعایت", "درکار", "call now", "order now", "free home delivery", "discount")
+AD_WORDS = (
+    "اشتہار", "تشہیر", "فری ہوم ڈلیوری", "آرڈر کریں", "ابھی آرڈر", "خصوصی رعایت", "رعایت", "مکان فروخت", "کرایہ پر دستیاب", "درکار",
+    "call now", "order now", "free home delivery", "discount",
+)
+PLACES = ("ترنوالہ", "سرکھیت", "ہلکوٹ", "کوٹ زریاب", "بن سیری", "مورتہ خورد", "نیلاں والی", "ڈھیری موڑا")
+DESKS = ("نیوز", "رپورٹر", "نامہ نگار", "ویب ڈیسک")
 PHONE = r"(\+?92|0)?3[0-9]{2}[\s\-]?[0-9]{7}"
 URL = r"(https?://|www\.)\S+"
-HARD = ("empty", "too_short", "too_few_words", "low_script_fraction", "excess_non_language", "excessive_repetition", "advertisement")
+HARD = ("empty", "too_short", "too_few_words", "low_script_fraction", "excess_non_language", "excessive_repetition", "corrupt_glyphs", "advertisement")
 
 #: Text folded letter by letter: (from, to).
 LEAK_FROM, LEAK_TO = "يىكهةۃە٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "ییکہہہہ01234567890123456789"
@@ -46,6 +61,11 @@ def non_language_ratio(c: Column) -> Column:
     return let(F.regexp_replace(c, r"\s+", ""), lambda x: ratio(F.length(F.regexp_replace(x, f"[{LANGUAGE}]+", "")), F.length(x), 1.0))
 
 
+def corrupt_ratio(c: Column) -> Column:
+    """Replacement characters among those that aren't spaces: what a decoder couldn't map."""
+    return let(F.regexp_replace(c, r"\s+", ""), lambda x: ratio(F.length(x) - F.length(F.replace(x, F.lit("\ufffd"), F.lit(""))), F.length(x), 0.0))
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
@@ -110,13 +130,15 @@ def is_dateline(c: Column, places: tuple[str, ...], desks: tuple[str, ...]) -> C
 
 
 def looks_like_ad(c: Column) -> Column:
-    """Commercial intent: a phone number and an advertising word, or a link and two, or three."""
+    """Commercial intent: a phone number and an advertising word, or a link and two, or three; no text that opens with a
+    dateline."""
+    opens = F.regexp_extract(F.regexp_replace(c, r"^\s+", ""), r"^[^\n]*", 0)
 
 
     def test(low: Column) -> Column:
         hits = sum((low.contains(w).cast("int") for w in AD_WORDS), F.lit(0))
         # The counts are cheap; the patterns run on the few texts that have an advertising word at all.
-        return let(hits, lambda h: (h >= 3) | ((h >= 1) & c.rlike(PHONE)) | ((h >= 2) & c.rlike("(?i)" + URL)))
+        return let(hits, lambda h: ((h >= 3) | ((h >= 1) & c.rlike(PHONE)) | ((h >= 2) & c.rlike("(?i)" + URL))) & ~is_dateline(opens, PLACES, DESKS))
 
     return let(F.lower(c), test)
 
@@ -125,7 +147,7 @@ def gate(c: Column, ad: Column) -> Column:
     """(r, tier): codes of the failed thresholds, in fixed order and for each metric at most the harder one, and the
     tier they give. Every metric is computed once per row."""
     s, p = STRICT, PERMISSIVE
-    metrics = F.struct(F.length(c).alias("n"), word_count(c).alias("w"), script_fraction(c).alias("sf"), non_language_ratio(c).alias("nl"), max_line_repeat(c).alias("rep"), ad.alias("ad"))
+    metrics = F.struct(F.length(c).alias("n"), word_count(c).alias("w"), script_fraction(c).alias("sf"), non_language_ratio(c).alias("nl"), max_line_repeat(c).alias("rep"), corrupt_ratio(c).alias("bad"), ad.alias("ad"))
 
     def two(hard: Column, hard_code: str, soft: Column, soft_code: str) -> Column:
         return F.when(hard, F.lit(hard_code)).when(soft, F.lit(soft_code))
@@ -139,6 +161,7 @@ def gate(c: Column, ad: Column) -> Column:
                 two(m["sf"] < p["min_script"], "low_script_fraction", m["sf"] < s["min_script"], "below_strict_script_fraction"),
                 two(m["nl"] > p["max_other"], "excess_non_language", m["nl"] > s["max_other"], "below_strict_non_language"),
                 two(m["rep"] > p["max_repeat"], "excessive_repetition", m["rep"] > s["max_repeat"], "below_strict_repetition"),
+                two(m["bad"] > p["max_corrupt"], "corrupt_glyphs", m["bad"] > s["max_corrupt"], "below_strict_glyph_purity"),
                 F.when(m["ad"], F.lit("advertisement")),
             )
         )

@@ -20,7 +20,8 @@ from ..session import cut
 
 PERMUTATIONS, BANDS, SHINGLE = 128, 16, 5
 MIN_ESTIMATE, TOP, THRESHOLD = 0.70, 5, 0.85
-PRIME = (1 << 61) - 1
+#: The records of a bucket are compared in parts of about so many.
+PART = 500
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +55,26 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("ord"), col], names=["ord", "sig"])
 
 
+def bucket_pairs(bands: DataFrame, part: int = PART) -> DataFrame:
+    """(ord, other), other < ord: records that share a bucket. bands: (ord, band, key). The later records of a large bucket
+    are dealt into parts, each of which meets all earlier ones, so no task gets a whole bucket's pairs."""
+    many = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    b = cut(bands.join(many, ["band", "key"]))
+    later = b.select("band", "key", "ord", F.pmod(F.xxhash64("ord"), F.col("parts")).cast("int").alias("part"))
+    earlier = b.select("band", "key", F.col("ord").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return later.join(earlier, ["band", "key", "part"]).where("other < ord").select("ord", "other").distinct()
+
+
+def _bands(sigs: DataFrame) -> DataFrame:
+    rows = PERMUTATIONS // BANDS
+    return sigs.select("ord", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice("sig", i * rows + 1, rows)))).alias("band", "key"))
+
+
+def signature_bands(docs: DataFrame) -> DataFrame:
+    """(ord, band, key) of docs (ord, text): the bands of their signatures."""
+    return _bands(docs.mapInArrow(_signatures, f"ord {dict(docs.dtypes)['ord']}, sig array<int>"))
+
+
 def near_duplicates(docs: DataFrame, order: str, text: str) -> DataFrame:
     """(ord, status, duplicate_of, similarity): unique, exact_duplicate or near_duplicate of an earlier record."""
     d = docs.select(F.col(order).alias("ord"), F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ").alias("text"))
@@ -62,10 +83,8 @@ def near_duplicates(docs: DataFrame, order: str, text: str) -> DataFrame:
     status = cut(digest.join(first, ["h1", "h2"]).select("ord", "first"))
     firsts = d.join(status.where("ord = first").select("ord"), "ord", "left_semi")
     sigs = cut(firsts.where("text <> ''").mapInArrow(_signatures, f"ord {dict(d.dtypes)['ord']}, sig array<int>"))
-    rows = PERMUTATIONS // BANDS
-    bands = sigs.select("ord", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice("sig", i * rows + 1, rows)))).alias("band", "key"))
-    later, earlier = bands, bands.withColumnRenamed("ord", "other")
-    pairs = later.join(earlier, ["band", "key"]).where("other < ord").select("ord", "other").distinct()
+    bands = _bands(sigs)
+    pairs = bucket_pairs(bands)
     s2 = sigs.select(F.col("ord").alias("other"), F.col("sig").alias("sig2"))
     equal = F.size(F.filter(F.arrays_zip("sig", "sig2"), lambda z: z["sig"] == z["sig2"])) / PERMUTATIONS
     est = pairs.join(sigs, "ord").join(s2, "other").select("ord", "other", equal.alias("est")).where(F.col("est") >= MIN_ESTIMATE)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..io import table
+from ..operators.broadcast import bounded
 from ..operators.graph import components
 from ..operators.minhash import near_duplicates
 from ..session import cut
@@ -93,6 +94,20 @@ def d07_eval_containment(s, d):
     return e.groupBy("split").agg(F.count_distinct("uid").alias("n_records"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("contained"))
 
 
+@query(f"""with t as {_SPLIT}, g as ({_grams_sql('t', 'uid, split')}), n as (select uid, count(*) as n from g group by uid), e as (select * from g where split <> 'train'),
+p as (select e.uid, t.uid as partner, count(*) as c from e join g t on t.gram = e.gram and t.split = 'train' group by 1, 2), j as (select p.uid, partner, c::double / (x.n + y.n - c) as j from p join n x on x.uid = p.uid join n y on y.uid = p.partner)
+select uid, arg_min(partner, (-j, partner)) as partner, round(max(j), 4) as jaccard from j group by uid""")
+def d07_best_partner(s, d):
+    """Of every evaluation record the train record with the highest Jaccard similarity of word runs, ties by uid."""
+    g = cut(_grouped(s, d).select("uid", "split", F.explode(F.array_distinct(T.gram_hashes(T.leak_words(F.col("text")), GRAM))).alias("gram")))
+    n = g.groupBy("uid").agg(F.count("*").alias("n"))
+    t = g.where("split = 'train'").select("gram", F.col("uid").alias("partner"))
+    p = g.where("split <> 'train'").select("gram", "uid").join(t, "gram").groupBy("uid", "partner").agg(F.count("*").alias("c"))
+    p = p.join(n, "uid").join(n.select(F.col("uid").alias("partner"), F.col("n").alias("m")), "partner")
+    j = p.select("uid", "partner", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("j"))
+    return j.groupBy("uid").agg(F.min_by("partner", F.struct(-F.col("j"), "partner")).alias("partner"), F.round(F.max("j"), 4).alias("jaccard"))
+
+
 @query()
 def d08_leak_prone_fixpoint(s, d):
     """Records outside train of whose grams a share of 0.3 or more is in another group outside the split or in a
@@ -115,7 +130,7 @@ def d08_leak_prone_fixpoint(s, d):
 select item_id, count(*) as n_grams, round(avg((c.gram is not null)::int), 4) as overlap from i left join c using (gram) group by item_id""")
 def d09_eval_overlap_words(s, d):
     i = grams(table(s, d, "eval_items", "item_id", "text"), "item_id")
-    c = grams(_docs(s, d), "doc_id").join(F.broadcast(i.select("gram").distinct()), "gram", "left_semi").select("gram").distinct().withColumn("hit", F.lit(1))
+    c = grams(_docs(s, d), "doc_id").join(bounded(cut(i.select("gram").distinct())), "gram", "left_semi").select("gram").distinct().withColumn("hit", F.lit(1))
     return i.join(c, "gram", "left").groupBy("item_id").agg(F.count("*").alias("n_grams"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("overlap"))
 
 
@@ -134,13 +149,13 @@ _KEY = "regexp_replace(regexp_replace(l, '\\s+', ' ', 'g'), '^ | $', '', 'g')"
 
 
 @query(f"""with u as (select uid, min(text) as text, min(source) as src from build group by uid), l as (select distinct uid, src, {_KEY} as k from (select uid, src, unnest(string_split(text, chr(10))) as l from u)),
-n as (select src, count(*) as n from u group by src) select l.src, k as line, count(*) as n_docs from l join n using (src) where length(k) between 1 and 60 group by l.src, k, n.n having count(*) >= greatest(12, 0.05 * n.n)""")
+n as (select src, count(*) as n from u group by src) select l.src, k as line, count(*) as n_docs from l join n using (src) where length(k) between 1 and 60 group by l.src, k, n.n having count(*) >= greatest(12, 0.25 * n.n)""")
 def d12_boilerplate_lines(s, d):
     u = table(s, d, "build", "uid", "text", "source").groupBy("uid").agg(F.min("text").alias("text"), F.min("source").alias("src"))
     l = u.select("uid", "src", F.explode(F.split("text", "\n")).alias("l")).select("uid", "src", T.line_key(F.col("l")).alias("line")).where(F.length("line").between(1, 60)).distinct()
     c = l.groupBy("src", "line").agg(F.count("*").alias("n_docs")).where("n_docs >= 12")
     n = u.groupBy("src").agg(F.count("*").alias("n"))
-    return c.join(n, "src").where("n_docs >= 0.05 * n").select("src", "line", "n_docs")
+    return c.join(n, "src").where("n_docs >= 0.25 * n").select("src", "line", "n_docs")
 
 
 @query(f"""with u as (select uid, min(text) as text, min(site) as site from build where site is not null group by uid), l as (select distinct uid, site, {_KEY} as k from (select uid, site, unnest(string_split(text, chr(10))) as l from u)),

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Window
@@ -87,26 +90,126 @@ def x16_isbn_check_digits(s, d):
     return i.agg(F.count("*").alias("n_isbn"), F.count_if((F.length("n") == 13) & (total % 10 == 0)).alias("n_valid"))
 
 
-#: Forms of contact identifiers, earlier ones win where they overlap.
-CONTACTS = (
-    ("<EMAIL>", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("<ID_NUMBER>", r"(?<!\d)\d{5}-\d{7}-\d(?!\d)|(?<!\d)\d{3}-\d{2}-\d{6}(?!\d)"),
-    ("<PHONE>", r"(?<!\d)(?:\+|00)\d{2,3}[\s.-]?\d{6,10}(?!\d)|(?<!\d)(?:92|0)?3\d{2}[\s.-]?\d{7}(?!\d)|(?<!\d)0[1-9]\d{1,3}[\s-]\d{5,8}(?!\d)|(?<!\d)\d{5,8}[\s-]0[1-9]\d{1,3}(?!\d)"),
-)
-_CONTACTS = [(tag, re.compile(p)) for tag, p in CONTACTS]
-_DIGITS = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
+# How many digits the parts of identity numbers have, and the words that announce one.
+ID_PARTS = {(5, 7, 1), (3, 2, 6)}
+ID_WORDS = ("شناختی کارڈ", "شناختیکارڈ", "cnic", "nic", "n.i.c")
+#: How far behind its word an announced identity number may begin, and how many characters it has at least.
+ID_REACH, ID_LEAST = 25, 5
+
+
+@dataclass(frozen=True)
+class Group:
+    """A run of digits of a line: where it lies, the digits, and the characters before it."""
+
+    start: int
+    end: int
+    digits: str
+    before: str
+
+
+def digit_groups(line: str) -> list[Group]:
+    """The runs of digits of any script, as ASCII."""
+    out: list[Group] = []
+    at = 0
+    while at < len(line):
+        if not line[at].isdecimal():
+            at += 1
+            continue
+        end = at
+        while end < len(line) and line[end].isdecimal():
+            end += 1
+        last = out[-1].end if out else 0
+        out.append(Group(at, end, "".join(str(unicodedata.decimal(c)) for c in line[at:end]), line[last:at]))
+        at = end
+    return out
+
+
+def _code(g: str, most: int = 5) -> bool:
+    """An area code: 0, another digit, one to three more."""
+    return 3 <= len(g) <= most and g[0] == "0" and g[1] != "0"
+
+
+def _mobile(g: str) -> bool:
+    """An operator's code, as it is dialled at home (3dd, 03dd) or behind the country code (923dd)."""
+    return g[-3:-2] == "3" and g[:-3] in ("", "0", "92") and len(g) >= 3
+
+
+def contact_kind(groups: list[Group], plus: bool) -> str | None:
+    """What a few neighbouring groups of digits are together: an identity number, a phone number or nothing. plus: a plus
+    sign stands before the first."""
+    sizes, seps = tuple(len(g.digits) for g in groups), [g.before for g in groups[1:]]
+    first, last = groups[0].digits, groups[-1].digits
+    if len(groups) == 3:
+        return "<ID_NUMBER>" if sizes in ID_PARTS and seps == ["-", "-"] else None
+    abroad = plus or first.startswith("00")
+    if len(groups) == 2:
+        if seps[0] not in (" ", "\t", "\xa0", "-", "."):
+            return None
+        cc = sizes[0] - (0 if plus else 2)
+        if abroad and cc in (2, 3) and 6 <= sizes[1] <= 10 or _mobile(first) and sizes[1] == 7 or sizes[0] == 7 and _mobile(last) and not last.startswith("92"):
+            return "<PHONE>"
+        landline = seps[0] != "." and (_code(first) and 5 <= sizes[1] <= 8 or 5 <= sizes[0] <= 8 and _code(last))
+        return "<PHONE>" if landline else None
+    if abroad and 8 <= sizes[0] - (0 if plus else 2) <= 13 or sizes[0] >= 10 and _mobile(first[:-7]):
+        return "<PHONE>"
+    return "<PHONE>" if sizes[0] in (10, 11) and _mobile(first[7:]) and not first[7:].startswith("92") else None
+
+
+def _announced(low: str, groups: list[Group], i: int) -> tuple[int, int] | None:
+    """The span of an identity number at group i that a word announces: digits and dashes, a letter or sign before them."""
+    a = groups[i].start
+    b = a
+    while b < len(low) and (low[b].isdecimal() or low[b] == "-"):
+        b += 1
+    if b - a < ID_LEAST:
+        return None
+    window = low[max(0, a - ID_REACH - 14) : a]
+    hit = max((window.rfind(w) + len(w) for w in ID_WORDS if w in window), default=-1)
+    if hit < 0 or len(window) - hit > ID_REACH or any(c.isdecimal() for c in window[hit:]):
+        return None
+    if a and low[a - 1] in "+-":
+        a -= 1
+    if a and low[a - 1].isascii() and low[a - 1].isalpha() and (a < 2 or not low[a - 2].isalpha()):
+        a -= 1
+    return a, b
+
+
+def contacts(line: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the contact identifiers of a line, from left to right. E-mail addresses come first; of numbers
+    the one that takes in most groups of digits wins."""
+    out = [(m.start(), m.end(), "<EMAIL>") for m in re.finditer(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}", line, re.ASCII)]
+    groups, low, i = digit_groups(line), line.lower(), 0
+    while i < len(groups):
+        span = _announced(low, groups, i)
+        kind = "<ID_NUMBER>" if span else None
+        for n in (3, 2, 1):
+            part = groups[i : i + n]
+            if span or len(part) < n:
+                continue
+            plus = line[part[0].start - 1 : part[0].start] == "+"
+            kind = contact_kind(part, plus)
+            if kind:
+                # A plus sign belongs to the number, two zeros are digits of it.
+                span = part[0].start - (plus and kind == "<PHONE>"), part[-1].end
+        if span and all(span[1] <= a or span[0] >= b for a, b, _ in out):
+            out.append((*span, kind))
+        i += 1
+        while span and i < len(groups) and groups[i].start < span[1]:
+            i += 1
+    return sorted(out)
 
 
 def mask_contacts(text: str) -> tuple[str, dict[str, int]]:
-    """The text with contact identifiers replaced, and how many of each; digits of any script match one to one."""
-    folded, spans = text.translate(_DIGITS), []
-    for tag, p in _CONTACTS:
-        spans += [(m.start(), m.end(), tag) for m in p.finditer(folded) if all(m.end() <= a or m.start() >= b for a, b, _ in spans)]
-    counts: dict[str, int] = {}
-    for a, b, tag in sorted(spans, reverse=True):
-        text = text[:a] + tag + text[b:]
-        counts[tag] = counts.get(tag, 0) + 1
-    return text, counts
+    """The text with contact identifiers replaced, and how many of each."""
+    counts, lines = Counter(), []
+    for line in text.split("\n"):
+        at, pieces = 0, []
+        for a, b, kind in contacts(line):
+            pieces += [line[at:a], kind]
+            at = b
+            counts[kind] += 1
+        lines.append("".join([*pieces, line[at:]]))
+    return "\n".join(lines), dict(counts)
 
 
 @query()

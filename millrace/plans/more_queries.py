@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..io import table
+from ..operators.broadcast import bounded
 from ..operators.graph import components
 from ..operators.normalize import normalized
 from ..operators.ranking import ranked
 from ..operators.selection import choose
 from ..operators.tokenizing import encoded
+from ..operators.windows import char_windows
 from ..session import cut
 from ..sources.readers import html_text, repair_mojibake
 from .catalog import query
@@ -128,14 +130,35 @@ def x14_x34_genre_precedence(s, d):
     return b.groupBy(g.alias("genre")).agg(F.count("*").alias("n"))
 
 
-_KEEP = "len(regexp_extract_all(text, '\\S+')) >= 20 and (length(text) - length(regexp_replace(text, '[\\x{0600}-\\x{06FF}]', '', 'g')))::double / greatest(length(regexp_replace(text, '\\s', '', 'g')), 1) >= 0.6 and not contains(text, chr(65533))"
+_FOLD = f"array_to_string({LEAK_SQL.format('text')}, ' ')"
+_KEEP = f"""with t as (select doc_id, lang, text, {LEAK_SQL.format('text')} as w from documents where text is not null), b as (select {LEAK_SQL.format('text')} as w from build where text is not null),
+bg as (select distinct array_to_string(w[i:i + 7], ' ') as g from (select w, unnest(range(1, len(w) - 6)) as i from b)), tg as (select distinct doc_id, array_to_string(w[i:i + 7], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from t)),
+bc as (select distinct substr(x, i, 24) as g from (select x, unnest(range(1, length(x) - 22)) as i from (select array_to_string(w, ' ') as x from b))), tc as (select distinct doc_id, substr(x, i, 24) as g from (select doc_id, x, unnest(range(1, length(x) - 22)) as i from (select doc_id, array_to_string(w, ' ') as x from t))),
+w8 as (select doc_id, avg((bg.g is not null)::int) as v from tg left join bg using (g) group by doc_id), c24 as (select doc_id, avg((bc.g is not null)::int) as v from tc left join bc using (g) group by doc_id)
+select lang, count(*) as n_kept from t left join w8 using (doc_id) left join c24 using (doc_id) where len(regexp_extract_all(text, '\\S+')) >= 20 and coalesce(w8.v, 0) < 0.1 and coalesce(c24.v, 0) < 0.2
+and (length(text) - length(regexp_replace(text, '[\\x{{0600}}-\\x{{06FF}}]', '', 'g')))::double / greatest(length(regexp_replace(text, '\\s', '', 'g')), 1) >= 0.6 and (length(text) - length(replace(text, chr(65533), '')))::double / length(text) < 0.001 group by lang"""
 
 
-@query(f"select lang, count(*) as n_kept from documents where text is not null and {_KEEP} group by lang")
+@query(_KEEP)
 def f20_keep_rule(s, d):
+    """Documents out of the built corpus: 20 words or more, under a tenth of their word runs and a fifth of their character
+    windows met in build, mostly in the script and hardly a replacement character."""
+    folded = F.array_join(T.leak_words(F.col("text")), " ")
+    t, b = _docs(s, d), table(s, d, "build", "uid", "text").where("text is not null")
+    grams = lambda df, key: df.select(key, F.explode(F.array_distinct(T.gram_hashes(T.leak_words(F.col("text")), 8))).alias("h"))
+
+    def share(own, corpus, name):
+        met = corpus.select("h").distinct().withColumn("hit", F.lit(1))
+        return own.join(met, "h", "left").groupBy("doc_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias(name))
+
+    w8 = share(grams(t, "doc_id"), grams(b, "uid"), "w8")
+    c24 = share(char_windows(t, "doc_id", folded, 24), char_windows(b, "uid", folded, 24), "c24")
     c = F.col("text")
-    keep = (F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))) >= 20) & (T.count(c, r"[\x{0600}-\x{06FF}]") / F.greatest(F.length(F.regexp_replace(c, r"\s", "")), F.lit(1)) >= 0.6) & ~c.contains("�")
-    return _docs(s, d).where(keep).groupBy("lang").agg(F.count("*").alias("n_kept"))
+    keep = (
+        (F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))) >= 20) & (F.coalesce("w8", F.lit(0.0)) < 0.1) & (F.coalesce("c24", F.lit(0.0)) < 0.2)
+        & (T.count(c, r"[\x{0600}-\x{06FF}]") / F.greatest(F.length(F.regexp_replace(c, r"\s", "")), F.lit(1)) >= 0.6) & (T.count(c, "\ufffd") / F.length(c) < 0.001)
+    )
+    return t.join(w8, "doc_id", "left").join(c24, "doc_id", "left").where(keep).groupBy("lang").agg(F.count("*").alias("n_kept"))
 
 
 CLOSED = ("دا", "دی", "دے", "کا", "کی", "کے", "the", "of", "د", "په")
@@ -176,29 +199,45 @@ def d04_exact_jaccard_pairs(s, d):
     return p.where(j >= 0.05).select("a", "b", F.round(j, 4).alias("jaccard"))
 
 
-@query(f"with k as (select uid, pos, md5(l) as k, min(pos) over (partition by uid, md5(l)) as first_pos from {_L} where l <> ''), r as (select uid, pos, pos - first_pos as shift, pos - row_number() over (partition by uid, pos - first_pos order by pos) as run from k where pos > first_pos) select uid, shift, min(pos) as start_pos, count(*) as n_lines from r group by uid, shift, run")
+#: A repeated run counts from so many lines with so many different ones, if the earlier one lies far enough
+#: before it, or it is long, or has a long line.
+RUN, KINDS, GAP, CHARS, LINE = 5, 2, 100, 1000, 200
+_RUNS = f"select uid, shift, min(pos) as start_pos, count(*) as n_lines from r group by uid, shift, run having count(*) >= {RUN} and count(distinct k) >= {KINDS} and (shift >= {GAP} or sum(n) >= {CHARS} or max(n) >= {LINE})"
+
+
+@query(f"with k as (select uid, pos, length(l) as n, md5(l) as k, min(pos) over (partition by uid, md5(l)) as first_pos from {_L} where l <> ''), r as (select *, pos - first_pos as shift, pos - row_number() over (partition by uid, pos - first_pos order by pos) as run from k where pos > first_pos) {_RUNS}")
 def d16_repeated_runs(s, d):
-    """Runs of lines that repeat earlier lines of the same record at one distance."""
-    k = _lines(s, d).where("l <> ''").select("uid", "pos", F.xxhash64("l").alias("k"))
+    return repeated_runs(_lines(s, d).where("l <> ''"))
+
+
+def repeated_runs(lines):
+    """Runs of lines that repeat earlier lines of the same record at one distance, under the rule above. lines: (uid, pos, l)."""
+    k = lines.select("uid", "pos", F.xxhash64("l").alias("k"), F.length("l").alias("n"))
     k = k.withColumn("first", F.min("pos").over(Window.partitionBy("uid", "k"))).where("pos > first").withColumn("shift", F.col("pos") - F.col("first"))
     r = k.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("uid", "shift").orderBy("pos")))
-    return r.groupBy("uid", "shift", "run").agg(F.min("pos").alias("start_pos"), F.count("*").alias("n_lines")).drop("run")
+    g = r.groupBy("uid", "shift", "run").agg(F.min("pos").alias("start_pos"), F.count("*").alias("n_lines"), F.count_distinct("k").alias("kinds"), F.sum("n").alias("chars"), F.max("n").alias("longest"))
+    far = (F.col("shift") >= GAP) | (F.col("chars") >= CHARS) | (F.col("longest") >= LINE)
+    return g.where((F.col("n_lines") >= RUN) & (F.col("kinds") >= KINDS) & far).select("uid", "shift", "start_pos", "n_lines")
 
 
 _SITES = """f as (select distinct site as f, l from (select site, unnest(string_split(text, chr(10))) as l from build where site is not null and text is not null) where length(l) >= 12), z as (select f, sum(length(l)) as n from f group by f),
 k as (select f.* from f join (select l from f group by l having count(*) between 2 and 40) using (l)), p as (select a.f as a, b.f as b, sum(length(a.l)) as c from k a join k b on a.l = b.l and a.f < b.f group by 1, 2),
-e as (select a, b from p join z x on x.f = a join z y on y.f = b where c >= 0.01 * least(x.n, y.n))"""
+e as (select a, b from p join z x on x.f = a join z y on y.f = b where c >= 0.5 * x.n and x.n >= 2000 or c >= 0.5 * y.n and y.n >= 2000)"""
 
 
 @query(f"with recursive {_SITES}, w as (select a, b from e union select b, a from e), r as (select f as node, f as other from z union select r.node, w.b from r join w on r.other = w.a), c as (select node, min(other) as component from r group by node) select c.node as site, c.component, first_value(z.f) over (partition by c.component order by z.n desc, z.f) as canonical from c join z on z.f = c.node")
 def d21_d22_revision_clusters(s, d):
-    """Sites that share enough lines form a cluster; the largest is canonical and the others are superseded by it."""
-    f = table(s, d, "build", "site", "text").where("site is not null and text is not null").select(F.col("site").alias("f"), F.explode(F.split("text", "\n")).alias("l")).where(F.length("l") >= 12).distinct()
-    f = cut(f)
+    return revision_clusters(table(s, d, "build", "site", "text").where("site is not null and text is not null"))
+
+
+def revision_clusters(texts):
+    """Sites that share half the characters of the distinct lines of one with 2,000 or more of them form a cluster; the
+    largest is canonical and the others are superseded by it. texts: (site, text)."""
+    f = cut(texts.select(F.col("site").alias("f"), F.explode(F.split("text", "\n")).alias("l")).where(F.length("l") >= 12).distinct())
     z = f.groupBy("f").agg(F.sum(F.length("l")).alias("n"))
     k = f.join(f.groupBy("l").agg(F.count("*").alias("c")).where("c between 2 and 40").select("l"), "l", "left_semi")
     p = k.withColumnRenamed("f", "a").join(k.withColumnRenamed("f", "b"), "l").where("a < b").groupBy("a", "b").agg(F.sum(F.length("l")).alias("c"))
-    e = p.join(z.select(F.col("f").alias("a"), F.col("n").alias("n1")), "a").join(z.select(F.col("f").alias("b"), F.col("n").alias("n2")), "b").where(F.col("c") >= 0.01 * F.least("n1", "n2"))
+    e = p.join(z.select(F.col("f").alias("a"), F.col("n").alias("n1")), "a").join(z.select(F.col("f").alias("b"), F.col("n").alias("n2")), "b").where("c >= 0.5 * n1 and n1 >= 2000 or c >= 0.5 * n2 and n2 >= 2000")
     c = components(e.select("a", "b"), z.select(F.col("f").alias("node"))).withColumnRenamed("node", "f").join(z, "f")
     top = c.groupBy("component").agg(F.min_by("f", F.struct(-F.col("n"), "f")).alias("canonical"))
     return c.join(top, "component").select(F.col("f").alias("site"), "component", "canonical")
@@ -247,35 +286,23 @@ def l09_group_selection(s, d):
     return ranked(g, ["source", "n"], "group_key").join(F.broadcast(takes), ["source", "n"]).where("rank < k").select("source", "group_key", F.col("n").alias("n_words"))
 
 
-@query("with t as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null and not contains(text, '<') and not contains(text, '&')) select doc_id, md5(array_to_string(list_filter(list_transform(ls, lambda x: regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), chr(10))) as digest from t")
+@query("with t as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null) select doc_id, md5(array_to_string(list_filter(list_transform(ls, lambda x: regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> ''), chr(10))) as digest from t")
 def s07_s08_html_text(s, d):
-    """Pages made of the documents and read back: the main container's text without navigation and scripts."""
-    t = _docs(s, d).where(~F.col("text").contains("<") & ~F.col("text").contains("&"))
-    page = F.concat(F.lit("<html><head><title>t</title></head><body><nav>menu</nav><main><p>"), "text", F.lit("</p><script>x</script></main><footer>end</footer></body></html>"))
+    """Pages made of the documents, escaped, and read back: the main container's text without navigation and scripts."""
+    t = _docs(s, d)
+    body = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<html><head><title>t</title></head><body><nav>menu</nav><main><p>"), body, F.lit("</p><script>x</script></main><footer>end</footer></body></html>"))
     return html_text(t.select("doc_id", page.alias("html")), "doc_id", "html").select("doc_id", F.md5("text").alias("digest"))
 
 
 @query(f"with i as (select item_id, {LEAK_SQL.format('text')} as w from eval_items where text is not null), t as (select doc_id, {LEAK_SQL.format('text')} as w from documents where text is not null), ig as (select distinct item_id, substr(x, i, 24) as g from (select item_id, x, unnest(range(1, greatest(length(x) - 22, 1))) as i from (select item_id, array_to_string(w, ' ') as x from i))), dg as (select distinct substr(x, i, 24) as g from (select x, unnest(range(1, greatest(length(x) - 22, 1))) as i from (select array_to_string(w, ' ') as x from t))) select item_id, count(*) as n_grams, round(avg((dg.g is not null)::int), 4) as overlap from ig left join dg using (g) group by item_id")
 def d09_eval_overlap_chars(s, d):
-    """Share of each test item's 24-character windows met in the corpus. The items' windows, a fixed set, are broadcast."""
-    import pyarrow as pa
-
-    def windows(df, key):
-        x = T.let(F.array_join(T.leak_words(F.col("text")), " "), lambda t: F.when(F.length(t) >= 24, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 23), lambda i: F.substr(t, i, F.lit(24))))).otherwise(F.array().cast("array<string>")))
-        return df.select(key, F.explode(x).alias("g"))
-
-    i = cut(windows(table(s, d, "eval_items", "item_id", "text").where("text is not null"), "item_id"))
-    wanted = s.sparkContext.broadcast(frozenset(r["g"] for r in i.select("g").distinct().toLocalIterator()))
-
-    def run(batches):
-        for b in batches:
-            met = set()
-            for t in b.column("x").to_pylist():
-                met.update(g for g in (t[k : k + 24] for k in range(len(t) - 23)) if g in wanted.value)
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(met), pa.string())], names=["g"])
-
-    hit = _docs(s, d).select(F.array_join(T.leak_words(F.col("text")), " ").alias("x")).mapInArrow(run, "g string").distinct().withColumn("hit", F.lit(1))
-    return i.join(hit, "g", "left").groupBy("item_id").agg(F.count("*").alias("n_grams"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("overlap"))
+    """Share of each test item's 24-character windows met in the corpus."""
+    folded = F.array_join(T.leak_words(F.col("text")), " ")
+    i = cut(char_windows(table(s, d, "eval_items", "item_id", "text"), "item_id", folded, 24))
+    wanted = bounded(cut(i.select("h").distinct()))
+    hit = char_windows(_docs(s, d), "doc_id", folded, 24).join(wanted, "h", "left_semi").select("h").distinct().withColumn("hit", F.lit(1))
+    return i.join(hit, "h", "left").groupBy("item_id").agg(F.count("*").alias("n_grams"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("overlap"))
 
 
 @query("select md5(text) as key, min(doc_id) as doc_id, count(*) as n from documents where text is not null group by 1")

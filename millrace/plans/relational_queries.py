@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..io import table
+from ..session import cut
 from .catalog import query
 
 
@@ -148,7 +149,8 @@ def o01_o08_ordered_ids(s, d):
     b = table(s, d, "build", "uid", "id", "source", "source_path").select("uid", "id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("source_path", F.lit("")).alias("source_path")).distinct()
     order = ["source", "source_path", "id", "uid"]
     part = b.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
-    part = part.withColumn("at", F.col("m") - F.shiftleft(F.col("p").cast("bigint"), 33))
+    # Written once, so that both uses below see the same partitions.
+    part = cut(part.withColumn("at", F.col("m") - F.shiftleft(F.col("p").cast("bigint"), 33)))
     sizes = part.groupBy("p").agg(F.count("*").alias("n"))
     offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "before")
     return part.join(F.broadcast(offsets), "p").select("uid", "id", (F.col("before") + F.col("at") + 1).alias("seq"))

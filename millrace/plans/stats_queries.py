@@ -281,11 +281,11 @@ def l08_seeds_needed(s, d):
     return g.select("candidate", "n_seeds", F.ceil(2 * F.pow((1.96 + 0.84) * F.col("sd") / (0.01 * F.col("m")), F.lit(2.0))).cast("bigint").alias("seeds_needed"))
 
 
-@query("select label, count(*) as n, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))), 4) as mean_norm, round(list_sum(list_transform(range(1, 65), lambda i: 0.0)), 4) as zero from embeddings group by label")
+@query("select label, count(*) as n, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))), 4) as mean_norm, round(max(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)))), 4) as largest_norm from embeddings group by label")
 def l10_embedding_norms(s, d):
     e = table(s, d, "embeddings", "label", "embedding")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm), 4).alias("mean_norm"), F.lit(0.0).alias("zero"))
+    return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(norm), 4).alias("mean_norm"), F.round(F.max(norm), 4).alias("largest_norm"))
 
 
 @query("select label, i as dim, round(avg(x), 4) as mean from (select label, unnest(range(len(embedding))) as i, unnest(embedding)::double as x from embeddings) group by label, i")

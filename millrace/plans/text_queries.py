@@ -83,8 +83,7 @@ def f06_valid_titles(s, d):
     return table(s, d, "documents", "doc_id", "title").where("title is not null").select("doc_id", T.is_valid_title(F.col("title")).alias("valid"))
 
 
-PLACES = ("ترنوالہ", "سرکھیت", "ہلکوٹ", "کوٹ زریاب", "بن سیری", "مورتہ خورد", "نیلاں والی", "ڈھیری موڑا")
-DESKS = ("نیوز", "رپورٹر", "نامہ نگار", "ویب ڈیسک")
+PLACES, DESKS = T.PLACES, T.DESKS
 
 
 @query(
@@ -100,7 +99,9 @@ def f07_datelines_f08_mastheads(s, d):
 
 
 _AD = f"({' + '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})::int' for w in T.AD_WORDS)})"
-_AD_SQL = f"((regexp_matches(text, '{T.PHONE}') and {_AD} >= 1) or {_AD} >= 3 or (regexp_matches(text, '(?i){T.URL}') and {_AD} >= 2))"
+_OPENS = "regexp_extract(regexp_replace(text, '^\\s+', ''), '^[^\\n]*')"
+_DATELINE = f"(regexp_matches({_OPENS}, '^({'|'.join(PLACES)})\\s*[(،,]') or regexp_matches({_OPENS}, '^[^\\s()،,]{{2,24}}\\([^)]*({'|'.join(DESKS)})[^)]*\\)'))"
+_AD_SQL = f"(((regexp_matches(text, '{T.PHONE}') and {_AD} >= 1) or {_AD} >= 3 or (regexp_matches(text, '(?i){T.URL}') and {_AD} >= 2)) and not {_DATELINE})"
 
 
 @query(f"select uid, bool_or({_AD_SQL}) as ad from build where text is not null group by uid")
@@ -113,14 +114,15 @@ def _two(hard: str, a: str, soft: str, b: str) -> str:
 
 
 _S, _P = T.STRICT, T.PERMISSIVE
-_METRICS = f"select doc_id, source, text, length(text) as n, {_wc('text')} as w, {_sf('text')} as sf, {_nl('text')} as nl, {_rep('text')} as rep, {_AD_SQL} as ad from documents where text is not null"
+_METRICS = f"select doc_id, source, text, length(text) as n, {_wc('text')} as w, {_sf('text')} as sf, {_nl('text')} as nl, {_rep('text')} as rep, coalesce((length(text) - length(replace(text, chr(65533), '')))::double / nullif(length(regexp_replace(text, '\\s', '', 'g')), 0), 0) as bad, {_AD_SQL} as ad from documents where text is not null"
 _REASONS = (
     "list_filter([case when n = 0 then 'empty' end, "
     + _two(f"n < {_P['min_chars']}", "too_short", f"n < {_S['min_chars']}", "below_strict_length") + ", "
     + _two(f"w < {_P['min_words']}", "too_few_words", f"w < {_S['min_words']}", "below_strict_words") + ", "
     + _two(f"sf < {_P['min_script']}", "low_script_fraction", f"sf < {_S['min_script']}", "below_strict_script_fraction") + ", "
     + _two(f"nl > {_P['max_other']}", "excess_non_language", f"nl > {_S['max_other']}", "below_strict_non_language") + ", "
-    + _two(f"rep > {_P['max_repeat']}", "excessive_repetition", f"rep > {_S['max_repeat']}", "below_strict_repetition")
+    + _two(f"rep > {_P['max_repeat']}", "excessive_repetition", f"rep > {_S['max_repeat']}", "below_strict_repetition") + ", "
+    + _two(f"bad > {_P['max_corrupt']}", "corrupt_glyphs", f"bad > {_S['max_corrupt']}", "below_strict_glyph_purity")
     + ", case when ad then 'advertisement' end], lambda x: x is not null)"
 )
 _TIER = f"case when len(r) = 0 then 'strict' when list_has_any(r, [{', '.join(repr(h) for h in T.HARD)}]) then 'reject' else 'permissive' end"

@@ -32,15 +32,25 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "millr
 def cut(df: DataFrame) -> DataFrame:
     """Write df once and read it back, so that later steps don't recompute it and survive lost executors.
 
-    The folder is the one the session names in spark.checkpoint.dir, which all executors share. Only where neither
-    the setting nor the context has one (tests) is a folder of this machine taken.
+    The folder is the one the session names in spark.checkpoint.dir, which all executors share.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "millrace-checkpoints"))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The folder that all executors share: the context's, or spark.checkpoint.dir. A local session (tests) may go without
+    and gets a folder of this machine; a cluster without one is an error."""
+    given = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), name)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers, except workers of this machine's own process tree that find it anyway (PYTHONPATH
     or the working folder names its place).
@@ -66,9 +76,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors share (a temporary one of this machine only where none is named)."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that executors share."""
+    return f"{shared_folder(spark, 'millrace-scratch')}/{name}-{uuid.uuid4().hex}"
 
 
 def discard(spark: SparkSession, path: str) -> None:
