@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.broadcast import bounded  # noqa: F401
 from ..operators.ranking import ranked  # noqa: F401
 
-#: A side is broadcast only when its counted rows stay within this bound; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
-
 def clean_path(path: Column) -> Column:
     """One separator, lower case, no leading ./ ."""
     return F.regexp_replace(F.regexp_replace(F.lower(path), r"[\\/]+", "/"), r"^(\./)*/?", "")
@@ -25,11 +22,6 @@ def source_of(path: Column) -> Column:
     return F.regexp_extract(folder_of(path), r"^[^/]*(/[^/]*)?", 0)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the bound, else df. df should be cut before."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 ASCII_DIGITS = ("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
 
 
