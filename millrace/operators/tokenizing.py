@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import importlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -28,6 +29,14 @@ def adapter(name: str):
     return add
 
 
+def factory(name: str):
+    """A registered factory, or one named as module:factory."""
+    if ":" in name:
+        module, _, attribute = name.partition(":")
+        return getattr(importlib.import_module(module), attribute)
+    return ADAPTERS[name]
+
+
 def default_path(file: str) -> str:
     import public_tokenizers
 
@@ -72,7 +81,7 @@ def encoded(df: DataFrame, key: str, text: str, name: str, path: str | None = No
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ADAPTERS[name](path)
+        encode = factory(name)(path)
         for b in batches:
             t = b.column(text).to_pylist()
             ids = encode([x or "" for x in t])
