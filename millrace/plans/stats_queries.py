@@ -66,7 +66,9 @@ def w08_cumulative_budget(s, d):
     return k.withColumn("cum", cum).where("cum <= 20000").select("doc_id", "cum")
 
 
-@query()
+@query("""with recursive l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) as n from documents where text is not null and doc_id is not null),
+r as (select doc_id, 0 as i, 0::bigint as used, false as taken from l union all select r.doc_id, i + 1, used + case when used + n[i + 1] <= 500 then n[i + 1] else 0 end, used + n[i + 1] <= 500 from r join l using (doc_id) where i < len(n))
+select r.doc_id, i - 1 as line_no, n[i] as n_chars from r join l using (doc_id) where taken""")
 def w09_budget_with_skip(s, d):
     """Per document, the lines taken in order when each that fits the rest of a budget of 500 characters is."""
     x = table(s, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.split("text", "\n").alias("l"))
@@ -84,7 +86,11 @@ def w10_evaluation_windows(s, d):
     return w.select("doc_id", F.col("s").alias("start_at"), end.alias("end_at"), F.when(F.col("s") == 0, F.least(F.lit(512), F.col("n"))).otherwise(end - F.least(F.col("s") + 256, F.col("n"))).alias("scored"))
 
 
-@query()
+@query("""with recursive l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: len(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> ''))) as n from documents where text <> '' and doc_id is not null),
+r as (select doc_id, 0 as i, 0::bigint as held, 0 as unit from l union all select r.doc_id, i + 1, case when held >= 50 then 0 else held end + n[i + 1], unit + (held >= 50)::int from r join l using (doc_id) where i < len(n)),
+e as (select doc_id, unit, max(held) as n_words from r where i > 0 group by 1, 2), z as (select *, max(unit) over (partition by doc_id) as last from e),
+k as (select doc_id, case when unit = last and unit > 0 and n_words < 50 then unit - 1 else unit end as unit, n_words, last from z)
+select doc_id, unit, sum(n_words)::bigint as n_words from k group by 1, 2 having max(last) > 0 or sum(n_words) > 0""")
 def w11_w13_pack_units(s, d):
     """Paragraphs packed into units of at least 50 words within each document."""
     x = table(s, d, "documents", "doc_id", "text").where("text is not null and text <> ''")
