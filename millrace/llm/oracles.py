@@ -26,6 +26,14 @@ often as (
 select uid, line_no from keyed join often using (src, k)
 """
 
+P2_CLEANED = P2_FOUND.replace("select uid, line_no from keyed join often using (src, k)", "").rstrip() + f""",
+b as (select row_number() over () as r, uid, text, case when source in ('newspaper', 'web') then regexp_extract({_FOLDER}, '^[^/]*(/[^/]*)?') end as src from build where uid is not null),
+bl as (select r, src, unnest(range(len(string_split(text, chr(10)))))::int as i, unnest(string_split(text, chr(10))) as line from b where text is not null),
+gone as (select r, i, line, k is not null as bad from (select r, i, line, src, regexp_replace({_FOLD.format("line")}, '[^\\p{{L}}]', '', 'g') as key from bl) x left join often o on o.src = x.src and o.k = x.key and x.key <> ''),
+made as (select r, string_agg(line, chr(10) order by i) filter (where not bad) as text, count(*) filter (where bad)::int as lines_removed from gone group by r)
+select distinct b.uid, case when b.text is null then null else coalesce(m.text, '') end as text, coalesce(m.lines_removed, 0) as lines_removed from b left join made m using (r)
+"""
+
 _KEYS = f"""
 recs as (
   select uid, source, {_FOLDER} as folder, regexp_extract({_PATH}, '^[^/]+/([^/]+)/', 1) as slug,
@@ -88,4 +96,4 @@ with found as ({P9_FOUND})
 select i.item_id, i.suite, count(f.doc_id) as n_documents from (select distinct item_id, suite from eval_items) i left join found f using (item_id) group by 1, 2
 """
 
-ORACLES = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_checks": P3_CHECKS, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_items": P9_ITEMS}
+ORACLES = {"p2_found": P2_FOUND, "p2_cleaned": P2_CLEANED, "p3_found": P3_FOUND, "p3_checks": P3_CHECKS, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_items": P9_ITEMS}
