@@ -35,6 +35,8 @@ from .text import Words, chunks, codes, line_keys, words
 SAMPLE = 1200
 #: Bytes of text that the sample may have; records beyond, in the order of their hashes, are passed over.
 SAMPLE_BYTES = 24_000_000
+#: For training, texts are cut into sequences of at most so many words; they are decoded whole.
+SPAN = 512
 #: What the field tells apart: the languages, and any other, which a script that none of them uses gives away.
 STATES = (*LANGUAGES, "other")
 BUCKETS = 1 << 14
@@ -222,6 +224,12 @@ def _kept(b: pa.RecordBatch, names=None) -> tuple[Words, np.ndarray, np.ndarray]
     return w, keep, begin
 
 
+def pieces(start: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Where sequences start if long ones are cut every so many words: all advance together, so the longest decides how
+    long training takes."""
+    return np.unique(np.concatenate([np.arange(a, b, span) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)] + [start]))
+
+
 def train(build: DataFrame, frequent: DataFrame, sample: int = SAMPLE) -> Field:
     """A field trained on the records with the least hashes of uid and text, at most `sample` and SAMPLE_BYTES."""
     rows = attach(build, frequent).select("uid", "text", "furniture").where("uid is not null and text is not null")
@@ -245,7 +253,7 @@ def train(build: DataFrame, frequent: DataFrame, sample: int = SAMPLE) -> Field:
             own[int(words(cp, s).hash[0])] = langs[0]
     field = Field()
     if len(v.ids):
-        field.train([features(x) for x in v.words], v.ids, start, votes(w, start, keep, own))
+        field.train([features(x) for x in v.words], v.ids, pieces(start), votes(w, start, keep, own))
     return field
 
 

@@ -95,7 +95,7 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tup
 
     if len(sizes):
         pats = patterns(sizes, capacity)
-        x = fit(pats, counts.astype(float))
+        x = fit(pats, counts.astype(float)) if pats else np.zeros(0)
         fill = np.array([sum(int(sizes[j]) for j in p) for p in pats])
         for k in np.lexsort((-x, -fill)):
             n = min(int(x[k]), room(pats[k]))
