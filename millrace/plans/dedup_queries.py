@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..io import table
-from ..operators.broadcast import bounded
+from ..operators.broadcast import bounded, shuffled
 from ..operators.graph import components
 from ..operators.minhash import near_duplicates
 from ..session import cut
@@ -85,13 +85,21 @@ def d06_group_containment(s, d):
 _SPLIT = "(select b.uid, min(m.split) as split, min(b.text) as text from build b join split_manifest m using (uid) group by b.uid)"
 
 
+def met_in_train(records: DataFrame) -> DataFrame:
+    """(split, gram, n, hit): the distinct grams of the records outside train, counted by split; hit is 1 where train has the
+    gram, else null. The row without a gram counts a split's records with grams. records: (split, grams), one row each."""
+    every = T.let(F.array_distinct("grams"), lambda g: F.when(F.size(g) > 0, F.concat(F.array(F.lit(None).cast("bigint")), g)))
+    tr = records.where("split = 'train'").select(F.explode("grams").alias("gram")).distinct().withColumn("hit", F.lit(1))
+    e = records.where("split <> 'train'").select("split", F.explode(every).alias("gram")).groupBy("split", "gram").agg(F.count("*").alias("n"))
+    return e.join(shuffled(tr), "gram", "left")
+
+
 @query(f"""with t as {_SPLIT}, g as ({_grams_sql('t', 'uid, split')}), tr as (select distinct gram from g where split = 'train')
 select split, count(distinct uid) as n_records, round(avg((tr.gram is not null)::int), 4) as contained from g left join tr using (gram) where split <> 'train' group by split""")
 def d07_eval_containment(s, d):
-    g = cut(_grouped(s, d).select("uid", "split", F.explode(F.array_distinct(T.gram_hashes(T.leak_words(F.col("text")), GRAM))).alias("gram")))
-    tr = g.where("split = 'train'").select("gram").distinct().withColumn("hit", F.lit(1))
-    e = g.where("split <> 'train'").join(tr, "gram", "left")
-    return e.groupBy("split").agg(F.count_distinct("uid").alias("n_records"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("contained"))
+    e = met_in_train(_grouped(s, d).select("split", T.gram_hashes(T.leak_words(F.col("text")), GRAM).alias("grams")))
+    rows, hits = F.sum(F.when(F.col("gram").isNotNull(), F.col("n"))), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0))
+    return e.groupBy("split").agg(F.sum(F.when(F.col("gram").isNull(), F.col("n"))).alias("n_records"), F.round(hits / rows, 4).alias("contained"))
 
 
 @query(f"""with t as {_SPLIT}, g as ({_grams_sql('t', 'uid, split')}), n as (select uid, count(*) as n from g group by uid), e as (select * from g where split <> 'train'),
