@@ -17,6 +17,7 @@ from ..operators.tokenizing import byte_bpe, default_path, merge_ranks, ranks
 from ..session import cut, discard, scratch
 from ..sources import readers, sinks
 from .catalog import query
+from .dedup_queries import met_in_train
 
 
 @query("select doc_id, md5(text) as digest, source from documents")
@@ -74,10 +75,9 @@ def d11_raw_gram_check(s, d):
     """Overlap with train by unfolded words: an independent check of the folded measure."""
     b = table(s, d, "build", "uid", "text").where("text is not null").groupBy("uid").agg(F.min("text").alias("text"))
     m = table(s, d, "split_manifest", "uid", "split").groupBy("uid").agg(F.min("split").alias("split"))
-    g = b.join(m, "uid").select("uid", "split", F.explode(F.array_distinct(T.gram_hashes(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 8))).alias("gram"))
-    g = cut(g)
-    tr = g.where("split = 'train'").select("gram", F.lit(1).alias("hit")).distinct()
-    return g.where("split <> 'train'").join(tr, "gram", "left").groupBy("split").agg(F.count("*").alias("n_grams"), F.count("hit").alias("n_met"))
+    g = b.join(m, "uid").select("split", T.gram_hashes(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 8).alias("grams"))
+    e = met_in_train(g).where("gram is not null")
+    return e.groupBy("split").agg(F.sum("n").alias("n_grams"), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("n_met"))
 
 
 _ISBN = "97[89]-\\d{1,5}-\\d{1,7}-\\d{1,7}-\\d"

@@ -13,3 +13,8 @@ def joins(df) -> list[str]:
 def test_d07_eval_containment_shuffles_its_grams(spark, folder):
     found = joins(entry.queries()["d07_eval_containment"](spark, folder))
     assert ("SortMergeJoin", "gram") in found and ("BroadcastHashJoin", "gram") not in found
+
+
+def test_d11_raw_gram_check_shuffles_its_grams(spark, folder):
+    found = joins(entry.queries()["d11_raw_gram_check"](spark, folder))
+    assert ("SortMergeJoin", "gram") in found and ("BroadcastHashJoin", "gram") not in found
