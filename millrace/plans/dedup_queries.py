@@ -17,6 +17,8 @@ from .text_queries import LEAK_SQL
 #: Grams in fewer or more records than these join no pairs (a rule of the measure, not a shortcut).
 DF_MIN, DF_MAX = 2, 50
 GRAM, MIN_GRAMS, CONTAINED = 8, 5, 0.80
+#: So many of a record's rarest grams are joined before the bound on the others is known; it changes the cost only.
+FIRST = 6
 
 
 def _docs(s, d):
@@ -107,13 +109,47 @@ p as (select e.uid, t.uid as partner, count(*) as c from e join g t on t.gram =
 select uid, arg_min(partner, (-j, partner)) as partner, round(max(j), 4) as jaccard from j group by uid""")
 def d07_best_partner(s, d):
     """Of every evaluation record the train record with the highest Jaccard similarity of word runs, ties by uid."""
-    g = cut(_grouped(s, d).select("uid", "split", F.explode(F.array_distinct(T.gram_hashes(T.leak_words(F.col("text")), GRAM))).alias("gram")))
-    n = g.groupBy("uid").agg(F.count("*").alias("n"))
-    t = g.where("split = 'train'").select("gram", F.col("uid").alias("partner"))
-    p = g.where("split <> 'train'").select("gram", "uid").join(t, "gram").groupBy("uid", "partner").agg(F.count("*").alias("c"))
-    p = p.join(n, "uid").join(n.select(F.col("uid").alias("partner"), F.col("n").alias("m")), "partner")
-    j = p.select("uid", "partner", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("j"))
-    return j.groupBy("uid").agg(F.min_by("partner", F.struct(-F.col("j"), "partner")).alias("partner"), F.round(F.max("j"), 4).alias("jaccard"))
+    x, grams = _grouped(s, d), T.array_distinct_sized(T.gram_hashes(T.leak_words(F.col("text")), GRAM))
+    return best_partners(*(x.where(side).select("uid", F.explode(grams).alias("x")).select("uid", "x.*") for side in ("split <> 'train'", "split = 'train'")))
+
+
+def best_partners(records: DataFrame, others: DataFrame, first: int = FIRST) -> DataFrame:
+    """(uid, partner, jaccard) of every record that shares a gram with one of the others: the most similar one, ties by uid.
+    Both: (uid, gram, n), the distinct grams of each record, n their number.
+
+    Only the grams that both sides have count. Others with the same such grams are one class, named by its shortest member,
+    records with the same ones and the same length another. A record meets the classes that have one of its first, rarest
+    grams; the best of them, of similarity j, sets how many grams a better one shares at least (j n of the record's n), so
+    that one has one of the rarest rest + 1. Those are met as well, and every class met is compared exactly.
+    """
+    o = cut(others.join(shuffled(records.select("gram").distinct()), "gram", "left_semi"))
+    r = records.join(shuffled(o.select("gram").distinct()), "gram", "left_semi")
+    r, o = (x.groupBy("uid").agg(F.array_sort(F.collect_list("gram")).alias("b"), F.max("n").alias("n")) for x in (r, o))
+    o = cut(o.groupBy("b").agg(F.min(F.struct("n", "uid")).alias("least")).select(F.col("least.uid").alias("partner"), F.col("least.n").alias("m"), F.col("b").alias("c")))
+    r = cut(r.withColumn("set", F.xxhash64("b")))
+    classes = cut(r.groupBy("set", "n").agg(F.min(F.struct("uid", "b")).alias("one")).select(F.col("one.uid").alias("class"), "set", "n", "one.b"))
+    there = o.select("partner", "m", F.size("c").alias("k2"), F.explode("c").alias("gram"))
+    df = shuffled(cut(there.groupBy("gram").agg(F.count("*").alias("df"))))
+    ranks = lambda x, key: F.row_number().over(Window.partitionBy(key).orderBy("df", "gram"))
+    there = there.join(df, "gram")
+    there = cut(there.select("gram", "partner", "m", (F.col("k2") - ranks(there, "partner") + 1).alias("left2")))
+    ranked = classes.select("class", "n", F.size("b").alias("k"), F.explode("b").alias("gram")).join(df, "gram")
+    ranked = ranked.withColumn("rank", ranks(ranked, "class"))
+    ranked = cut(ranked.select("gram", "class", "n", "rank", (F.col("k") - F.col("rank") + 1).alias("left")))
+    own, theirs = shuffled(classes.select("class", "b")), shuffled(o.select("partner", "c"))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("b", "c"))
+        j = pairs.select("class", "n", "partner", "m").distinct().join(theirs, "partner").join(own, "class").select("class", "partner", (both / (F.col("n") + F.col("m") - both)).alias("j"))
+        return j.groupBy("class").agg(F.min(F.struct((-F.col("j")).alias("j"), "partner")).alias("best"))
+
+    near = cut(best(ranked.where(F.col("rank") <= first).join(shuffled(there), "gram")))
+    rest = ranked.where(F.col("rank") > first).join(shuffled(near.select("class", (-F.col("best.j")).alias("j"))), "class")
+    rest = rest.where(F.col("left") + 1e-6 >= F.col("j") * F.col("n")).join(shuffled(there), "gram")
+    rest = rest.where(F.least("left", "left2") * (1 + F.col("j")) + 1e-6 >= F.col("j") * (F.col("n") + F.col("m")))
+    found = near.unionByName(best(rest)).groupBy("class").agg(F.min("best").alias("best"))
+    of = r.select("uid", "set", "n").join(shuffled(classes.select("class", "set", "n")), ["set", "n"])
+    return of.join(shuffled(found), "class").select("uid", "best.partner", F.round(-F.col("best.j"), 4).alias("jaccard"))
 
 
 @query()
