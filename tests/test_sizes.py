@@ -51,3 +51,7 @@ def test_best_partners_equal_those_of_all_pairs(spark):
     for first in (1, 3):
         got = {r.uid: (r.partner, r.jaccard) for r in best_partners(rows(records), rows(others), first).collect()}
         assert got == want
+
+
+def test_d20_fuzzy_line_copies_broadcasts_no_grams(spark, folder):
+    assert not broadcast_keys(spark, "d20_fuzzy_line_copies", folder) & {"h", "doc_id", "line_no", "copy_of", "number"}
