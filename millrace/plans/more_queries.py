@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..io import table
-from ..operators.broadcast import bounded
+from ..operators.broadcast import bounded, shuffled
 from ..operators.graph import components
 from ..operators.normalize import normalized
 from ..operators.ranking import ranked
@@ -149,7 +149,7 @@ def f20_keep_rule(s, d):
 
     def share(own, corpus, name):
         met = corpus.select("h").distinct().withColumn("hit", F.lit(1))
-        return own.join(met, "h", "left").groupBy("doc_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias(name))
+        return own.join(shuffled(met), "h", "left").groupBy("doc_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias(name))
 
     w8 = share(grams(t, "doc_id"), grams(b, "uid"), "w8")
     c24 = share(char_windows(t, "doc_id", folded, 24), char_windows(b, "uid", folded, 24), "c24")
@@ -158,7 +158,7 @@ def f20_keep_rule(s, d):
         (F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))) >= 20) & (F.coalesce("w8", F.lit(0.0)) < 0.1) & (F.coalesce("c24", F.lit(0.0)) < 0.2)
         & (T.count(c, r"[\x{0600}-\x{06FF}]") / F.greatest(F.length(F.regexp_replace(c, r"\s", "")), F.lit(1)) >= 0.6) & (T.count(c, "\ufffd") / F.length(c) < 0.001)
     )
-    return t.join(w8, "doc_id", "left").join(c24, "doc_id", "left").where(keep).groupBy("lang").agg(F.count("*").alias("n_kept"))
+    return t.join(shuffled(w8), "doc_id", "left").join(shuffled(c24), "doc_id", "left").where(keep).groupBy("lang").agg(F.count("*").alias("n_kept"))
 
 
 CLOSED = ("دا", "دی", "دے", "کا", "کی", "کے", "the", "of", "د", "په")

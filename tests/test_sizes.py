@@ -55,3 +55,7 @@ def test_best_partners_equal_those_of_all_pairs(spark):
 
 def test_d20_fuzzy_line_copies_broadcasts_no_grams(spark, folder):
     assert not broadcast_keys(spark, "d20_fuzzy_line_copies", folder) & {"h", "doc_id", "line_no", "copy_of", "number"}
+
+
+def test_f20_keep_rule_broadcasts_no_grams(spark, folder):
+    assert not broadcast_keys(spark, "f20_keep_rule", folder) & {"h", "doc_id"}
